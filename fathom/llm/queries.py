@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import line_dedup, mixing, near_dedup
+from fathom.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,14 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op5_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -56,6 +64,8 @@ SELECT doc_id, text, lang, r.source, n_chars FROM reached r JOIN budget b ON r.s
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_line_dedup": op2_line_dedup,
+    "op5_benchmark_matches": op5_benchmark_matches,
     "op6_mix_sources": op6_mix_sources,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_mix_sources": OP6_SQL}
