@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
+from fathom.llm import decontaminate, gif_media, line_dedup, lm_score, mixing, near_dedup, secret_scan, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +36,27 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(documents(spark, sf_dir))
+
+
 def op5_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return gif_media.gif_frames(pages.select("page_id", gif_media.render(pages["html"]).alias("gif")), "page_id", "gif")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -64,8 +81,12 @@ SELECT doc_id, text, lang, r.source, n_chars FROM reached r JOIN budget b ON r.s
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_line_dedup": op2_line_dedup,
+    "op4_lm_scores": op4_lm_scores,
     "op5_benchmark_matches": op5_benchmark_matches,
     "op6_mix_sources": op6_mix_sources,
+    "op7_gif_frames": op7_gif_frames,
+    "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
+    "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_mix_sources": OP6_SQL}
