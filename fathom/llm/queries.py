@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import decontaminate, gif_media, line_dedup, lm_score, mixing, near_dedup, secret_scan, token_counts, toxicity
+from fathom.llm import decontaminate, gif_media, line_dedup, lm_score, mixing, near_dedup, secret_scan, substring_dedup, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(documents(spark, sf_dir))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(documents(spark, sf_dir))
 
@@ -81,6 +85,7 @@ SELECT doc_id, text, lang, r.source, n_chars FROM reached r JOIN budget b ON r.s
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_line_dedup": op2_line_dedup,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_lm_scores": op4_lm_scores,
     "op5_benchmark_matches": op5_benchmark_matches,
     "op6_mix_sources": op6_mix_sources,
