@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from fathom.functions.chunking import tokenise
 from fathom.functions.text import tokens
 from fathom.operators.postings import all_text
 
@@ -28,27 +31,28 @@ def model_summary(kb: DataFrame, order: int = 2) -> DataFrame:
     return totals.crossJoin(pairs).select(F.lit(order).alias("order"), "documents", "token_count", "transition_count", "pair_count")
 
 
-def word_tokens(text: Column) -> Column:
-    return F.filter(tokens(text), lambda t: t.rlike("^[a-z]+$"))
-
-
-def generate_from(text: Column, seed: Column, order: int = 2, most: int = LONGEST_NOTE) -> Column:
-    """The walk from the seed's prefix along each prefix's first successor; '' where the text has no transition."""
-    said = word_tokens(text)
-    places = F.when(F.size(said) > order, F.sequence(F.lit(1), F.size(said) - order)).otherwise(F.array().cast("array<int>"))
-    steps = F.transform(places, lambda i: F.struct(F.slice(said, i, F.lit(order)).alias("prefix"), F.get(said, i + (order - 1)).alias("next")))
-    seeds = F.filter(word_tokens(seed), lambda t: F.array_contains(said, t))
-    tail = F.slice(seeds, F.greatest(F.size(seeds) - (order - 1), F.lit(1)), F.lit(order))
-    prefixes = F.transform(steps, lambda s: s["prefix"])
-    shared = F.get(F.filter(prefixes, lambda p: F.arrays_overlap(p, seeds)), F.lit(0))
-    first = F.when(F.array_contains(prefixes, tail), tail).otherwise(F.coalesce(shared, F.array_min(prefixes)))
-    start = F.struct(first.alias("said"), F.array().cast("array<array<string>>").alias("seen"), F.lit(False).alias("over"))
-
-    def step(state: Column, _: Column) -> Column:
-        at = F.slice(state["said"], F.size(state["said"]) - (order - 1), F.lit(order))
-        following = F.get(F.transform(F.filter(steps, lambda s: s["prefix"] == at), lambda s: s["next"]), F.lit(0))
-        stop = state["over"] | following.isNull() | F.array_contains(state["seen"], at)
-        return F.struct(F.when(stop, state["said"]).otherwise(F.concat(state["said"], F.array(following))).alias("said"), F.when(stop, state["seen"]).otherwise(F.concat(state["seen"], F.array(at))).alias("seen"), stop.alias("over"))
-
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(max(most - order, 1))), start, step, lambda s: F.array_join(F.slice(s["said"], 1, most), " "))
-    return F.when(F.size(steps) > 0, walk).otherwise(F.lit(""))
+def walk(text: str, seed: str, order: int = 2, most: int = LONGEST_NOTE) -> str:
+    """From the seed's prefix along each prefix's first successor; '' where the text has no transition."""
+    said = [t for t in tokenise(text) if t.isalpha()]
+    follows: dict[tuple[str, ...], str] = {}
+    for k in range(len(said) - order):
+        follows.setdefault(tuple(said[k : k + order]), said[k + order])
+    if not follows:
+        return ""
+    known = set(said)
+    seeds = [t for t in tokenise(seed) if t in known]
+    at = tuple(seeds[-order:])
+    if at not in follows:
+        at = next((p for p in follows if not known.isdisjoint(p) and not set(seeds).isdisjoint(p)), min(follows))
+    out, seen = list(at), set()
+    while len(out) < most and at in follows and at not in seen:
+        seen.add(at)
+        out.append(follows[at])
+        at = tuple(out[-order:])
+    return " ".join(out[:most])
+
+
+@F.arrow_udf(StringType())
+def generate_from(text: pa.Array, seed: pa.Array) -> pa.Array:
+    """walk() of each row; null where a side is null. The walk is a recurrence, so it isn't a column expression."""
+    return pa.array([None if t is None or s is None else walk(t, s) for t, s in zip(text.to_pylist(), seed.to_pylist())], pa.string())
