@@ -142,7 +142,7 @@ def frames(data: bytes) -> Iterator[dict]:
     at, shared = 13, None
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
-    canvas = np.zeros((height, width, 4), np.uint8)
+    canvas = np.zeros((height, width), "<u4")  # red, green, blue and opacity, a byte each
     number = clock = delay = disposal = 0
     clear_index = -1
     while True:
@@ -185,12 +185,11 @@ def frames(data: bytes) -> Iterator[dict]:
         before = canvas.copy() if disposal == 3 else None
         view = canvas[y : y + h, x : x + w]
         index = index[: view.shape[0], : view.shape[1]]
-        shown = index != clear_index
-        view[shown] = np.c_[palette, np.full(len(palette), 255, np.uint8)][index[shown]]
-        opaque = canvas[..., 3] == 255
-        colour = canvas[opaque]
-        cell = (colour[:, 0] >> 6).astype(np.int64) << 4 | (colour[:, 1] >> 6) << 2 | colour[:, 2] >> 6
-        yield {"frame": number, "width": width, "height": height, "start_ms": clock, "delay_ms": delay, "disposal": disposal, "rgba": canvas.tobytes(), "opaque": int(opaque.sum()), "histogram": np.bincount(cell, minlength=64).tolist(), "error": None}
+        colour = np.c_[palette, np.full(len(palette), 255, np.uint8)].view("<u4").ravel()[index]
+        np.copyto(view, colour, where=index != clear_index)
+        opaque = canvas[canvas >= 255 << 24]
+        cell = opaque >> 2 & 48 | opaque >> 12 & 12 | opaque >> 22 & 3
+        yield {"frame": number, "width": width, "height": height, "start_ms": clock, "delay_ms": delay, "disposal": disposal, "rgba": canvas.tobytes(), "opaque": len(opaque), "histogram": np.bincount(cell, minlength=64).tolist(), "error": None}
         if disposal == 2:
             view[:] = 0
         elif disposal == 3:
@@ -226,41 +225,38 @@ def gif_frames(media: DataFrame, id_column: str, media_column: str) -> DataFrame
 def lzw_encode(pixels: bytes, least: int) -> bytes:
     """A code stream of the pixels, with a clear first and whenever the table is full."""
     clear = 1 << least
-    widths, codes = [least + 1], [clear]
-    table: dict[int, int] = {}
-    following, width, code = clear + 2, least + 1, -1
-    for p in pixels:
-        if code < 0:
-            code = p
-            continue
+    codes, table = [clear], {}
+    emit, known = codes.append, table.get
+    following, code = clear + 2, pixels[0] if pixels else -1
+    for p in pixels[1:]:
         key = code << 8 | p
-        longer = table.get(key)
+        longer = known(key)
         if longer is not None:
             code = longer
             continue
-        codes.append(code)
-        widths.append(width)
+        emit(code)
         code = p
         if following == 4096:
-            codes.append(clear)
-            widths.append(12)
+            emit(clear)
             table.clear()
-            following, width = clear + 2, least + 1
+            following = clear + 2
         else:
             table[key] = following
-            if following == 1 << width:
-                width += 1
             following += 1
     if code >= 0:
-        codes.append(code)
-        widths.append(width)
-        if following == 1 << width and width < 12:
-            width += 1
-    codes.append(clear + 1)
-    widths.append(width)
-    w = np.array(widths)
-    bit = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-    return np.packbits(np.repeat(np.array(codes), w) >> bit & 1, bitorder="little").tobytes()
+        emit(code)
+    emit(clear + 1)
+    c = np.array(codes)
+    # The width of a code depends only on its place since the last clear before it.
+    own = np.arange(len(c))
+    last = np.r_[-1, np.maximum.accumulate(np.where(c == clear, own, 0))[:-1]]
+    width = np.minimum(np.maximum(np.frexp(clear + own - last)[1], least + 1), 12)
+    width[0] = least + 1
+    end = np.cumsum(width)
+    byte, shifted = (end - width) >> 3, c << ((end - width) & 7)
+    size = -(-int(end[-1]) // 8)
+    out = sum(np.bincount(byte + k, shifted >> 8 * k & 255, size + 2) for k in range(3))
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def _ramp(turn: int) -> bytes:
