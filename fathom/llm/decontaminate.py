@@ -1,19 +1,19 @@
 """Operator 5: passages of benchmark items in training documents.
 
-Rare word 3-grams of each item seed the search; around every seed hit the item is aligned with the
+Every word 3-gram of an item seeds the search; around every seed hit the item is aligned with the
 passage by Smith-Waterman over words, so paraphrased or edited copies score by what still agrees.
 
-Plan: one pass over the texts counts the documents of every item 3-gram (numpy over Arrow batches, only
-hits leave the worker); each item keeps as seeds the rarer half of its 3-grams that occur. A second pass
-finds the seeds and aligns on the spot, so no text is shuffled: reading twice costs less than moving
-every text once. What is broadcast is the benchmark's own n-grams and words, never corpus data; past
-MOST_BROADCAST n-grams the same seeds are found by shuffle joins and only candidate texts move.
+Plan: one pass over the texts finds the seeds (numpy over Arrow batches) and aligns on the spot, so no
+text is shuffled. Common 3-grams seed too: before the alignment only windows are left out that have too
+few of the item's words to reach the threshold, which loses nothing. What is broadcast is the benchmark's
+own n-grams and words, never corpus data; past MOST_BROADCAST n-grams the same seeds are found by shuffle
+joins and only candidate texts move.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. The score is
 Smith-Waterman's best local alignment (match 2, mismatch -1, gap -1) over the item's own best, 2 a word.
 
 Defined results: null or wordless texts and items match nothing; an item of fewer than 3 words has no
-seed and matches nothing. Rows of items with one item_id are items of their own; equal rows give equal
+seed and matches nothing, and so does a passage that has no three words of the item in a row. Rows of items with one item_id are items of their own; equal rows give equal
 matches once for each document row. Null ids are carried as nulls. Ties between passages of one document
 go to the earliest. Other columns are never read.
 """
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.ragged import byte_chunks, chain, first_of_document, ngram_starts, span_hashes, word_spans
+from fathom.llm.ragged import byte_chunks, chain, first_of_document, mix, ngram_starts, span_hashes, word_spans
 from fathom.llm.scratch import cut
 
 N = 3
@@ -36,6 +36,8 @@ THRESHOLD = 0.5
 MOST_BROADCAST = 4_000_000
 MATCH = "array<struct<item: int, score: double, first_word: int, end_word: int>>"
 _FILTER = 1 << 22
+#: Words of windows that are looked up at a time.
+MOST_WORDS = 1 << 20
 
 
 def words_and_grams(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,9 +103,9 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def windows(text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+def windows(text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
     """(text, item, first word, end word) around seed hits; hits of one text and item whose windows overlap share one."""
-    slack = sizes[item] // 2 + 4
+    slack = np.ceil(2 * (1 - threshold) * sizes[item]).astype(np.int64)  # a passage of more gaps is below the threshold
     low, high = np.maximum(diagonal - slack, 0), np.minimum(diagonal + sizes[item] + slack, lengths[text])
     order = np.lexsort((low, item, text))
     text, item, low, high = text[order], item[order], low[order], high[order]
@@ -131,65 +133,65 @@ class Benchmark:
         self.words = np.split(np.concatenate(words), np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
         self.gram, self.first, self.item = np.concatenate(grams), np.concatenate(first), np.concatenate(text)
 
-    def rare(self, frequency: dict[int, int]) -> np.ndarray:
-        """Index of each item's seed n-grams: of its distinct n-grams the rarer half, of those that occur."""
-        key = np.unique(np.stack([self.item.astype(np.uint64), self.gram]), axis=1, return_index=True)[1]
-        count = np.array([frequency.get(int(g), 0) for g in self.gram[key].view(np.int64)], np.int64)
-        item, gram = self.item[key], self.gram[key]
-        half = -(-np.bincount(item, minlength=len(self.sizes)) // 2)
-        order = np.lexsort((gram, count, item))
-        order = order[count[order] > 0]
-        item = item[order]
-        place = np.arange(len(item)) - np.searchsorted(item, item)
-        chosen = order[place < half[item]]
-        picked = {(int(self.item[k]), int(self.gram[k])) for k in key[chosen]}
-        return np.array([k for k in range(len(self.gram)) if (int(self.item[k]), int(self.gram[k])) in picked], np.int64)
+        own = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.key, self.times = np.unique(self.keys(np.concatenate(words), own), return_counts=True)
+
+    @staticmethod
+    def keys(words: np.ndarray, items: np.ndarray) -> np.ndarray:
+        return mix(words * np.uint64(0xC2B2AE3D27D4EB4F) + items.astype(np.uint64))
+
+
+def promising(word: np.ndarray, begin: np.ndarray, text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, bench: Benchmark, threshold: float) -> np.ndarray:
+    """Index of the windows that have enough of their item's words: fewer matches than threshold x size never reach the threshold."""
+    size, keep = high - low, []
+    part = np.cumsum(size) // MOST_WORDS
+    for now in np.split(np.arange(len(text)), np.flatnonzero(np.diff(part)) + 1):
+        n = size[now]
+        window = np.repeat(np.arange(len(now)), n)
+        at = np.repeat(begin[text[now]] + low[now] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        keys = bench.keys(word[at], item[now][window])
+        slot = np.minimum(np.searchsorted(bench.key, keys), len(bench.key) - 1)
+        has = np.unique((window * len(bench.key) + slot)[bench.key[slot] == keys])
+        most = np.bincount(has // len(bench.key), bench.times[has % len(bench.key)], len(now))
+        keep.append(now[most >= threshold * bench.sizes[item[now]] - 1e-9])
+    return np.concatenate(keep)
+
+
+def passages(word: np.ndarray, counts: np.ndarray, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, bench: Benchmark, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text, item, score, first word, end word) around seed hits: each window's best, where it reaches the threshold."""
+    text, item, low, high = windows(text, item, diagonal, bench.sizes, counts, threshold)
+    if not len(text):
+        return
+    begin = first_of_document(counts)
+    good = promising(word, begin, text, item, low, high, bench, threshold)
+    text, item, low, high = text[good], item[good], low[good], high[good]
+    found = align([word[begin[t] + a : begin[t] + b] for t, a, b in zip(text, low, high)], [bench.words[k] for k in item])
+    for t, k, a, (score, start, end) in zip(text.tolist(), item.tolist(), low.tolist(), found.tolist()):
+        share = score / (2 * int(bench.sizes[k]))
+        if share >= threshold:
+            yield t, k, round(share, 6), a + start, a + end
 
 
 def matches_of(word: np.ndarray, counts: np.ndarray, hit_text: np.ndarray, hit_word: np.ndarray, hit_row: np.ndarray, bench: Benchmark, threshold: float) -> dict[int, list[dict]]:
     """Matches by text; hit_row says which n-gram of the benchmark was hit at which word of which text."""
-    text, item, low, high = windows(hit_text, bench.item[hit_row], hit_word - bench.first[hit_row], bench.sizes, counts)
-    begin = first_of_document(counts)
-    found = align([word[begin[t] + a : begin[t] + b] for t, a, b in zip(text, low, high)], [bench.words[k] for k in item]) if len(text) else np.zeros((0, 3), np.int64)
     out: dict[int, dict[int, dict]] = {}
-    for t, k, a, (score, start, end) in zip(text.tolist(), item.tolist(), low.tolist(), found.tolist()):
-        share = score / (2 * int(bench.sizes[k]))
-        if share >= threshold and share > out.get(t, {}).get(k, {"score": 0})["score"]:
-            out.setdefault(t, {})[k] = {"item": k, "score": round(share, 6), "first_word": a + start, "end_word": a + end}
+    for t, k, share, start, end in passages(word, counts, hit_text, bench.item[hit_row], hit_word - bench.first[hit_row], bench, threshold):
+        if share > out.get(t, {}).get(k, {"score": 0})["score"]:
+            out.setdefault(t, {})[k] = {"item": k, "score": share, "first_word": start, "end_word": end}
     return {t: [m for _, m in sorted(by.items())] for t, by in out.items()}
 
 
-def _frequencies(texts: DataFrame, bench: Benchmark, n: int) -> dict[int, int]:
-    """Documents of each benchmark n-gram that occurs."""
-    held = texts.sparkSession.sparkContext.broadcast(bench.gram)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds(held.value)
-        total = np.zeros(len(seeds.hashes), np.int64)
-        for batch in batches:
-            for *_, grams, _, doc in words_and_grams(batch.column(0), n):
-                where, which = seeds.find(grams)
-                total += np.bincount(np.unique(doc[where] * len(total) + which) % max(1, len(total)), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seeds.hashes[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    rows = texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n")).toArrow()
-    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-
-
 def matcher(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD):
     """A column of MATCH for docs' texts (item is a row number), and the items' ids; the broadcast way."""
     items = benchmark.select("item_id", "text").orderBy("item_id", "text").toArrow().to_pydict()
     bench = Benchmark(items["text"], n)
-    bench_rows = bench.rare(_frequencies(docs.select(F.col("text").cast("string")), bench, n))
-    held = docs.sparkSession.sparkContext.broadcast((vars(bench), bench_rows))  # plain arrays: workers need no import to read them
+    held = docs.sparkSession.sparkContext.broadcast(vars(bench))  # plain arrays: workers need no import to read them
 
     @F.arrow_udf(MATCH)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parts, rows = held.value
         bench = Benchmark.__new__(Benchmark)
-        vars(bench).update(parts)
-        rows = rows[np.argsort(bench.gram[rows], kind="stable")]
+        vars(bench).update(held.value)
+        rows = np.argsort(bench.gram, kind="stable")
         seeds = Seeds(bench.gram[rows])
         first = np.searchsorted(bench.gram[rows], seeds.hashes)
         times = np.diff(np.r_[first, len(rows)])
@@ -227,12 +229,10 @@ def _by_joins(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -
                 for _, _, word, counts, *_ in words_and_grams(pa.array([r["text"]], pa.string()), n):
                     diagonal = np.array(r["diagonals"], np.int64)
                     zero = np.zeros(len(diagonal), np.int64)
-                    text, item, low, high = windows(zero, zero, diagonal, bench.sizes, counts)
-                    hits = align([word[a:b] for a, b in zip(low, high)], [bench.words[0]] * len(low))
-                    top = int(np.argmax(hits[:, 0]))
-                    share = hits[top, 0] / (2 * int(bench.sizes[0]))
-                    if share >= threshold:
-                        for k, v in zip(out, (r["id"], r["tag"], r["item_id"], round(float(share), 6), int(low[top] + hits[top, 1]), int(low[top] + hits[top, 2]))):
+                    hits = list(passages(word, counts, zero, zero, diagonal, bench, threshold))
+                    if hits:
+                        _, _, share, start, end = max(hits, key=lambda m: m[2])
+                        for k, v in zip(out, (r["id"], r["tag"], r["item_id"], share, start, end)):
                             out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
@@ -240,11 +240,8 @@ def _by_joins(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
     own = cut(items.mapInArrow(grams, shape), "items")
-    hits = cut(texts.mapInArrow(grams, shape).join(own.select("gram").distinct(), "gram", "left_semi"), "hits")
-    often = hits.select("gram", "id", "tag").distinct().groupBy("gram").count()
-    each = own.select("id", "tag", "gram").distinct().join(often, "gram", "left").selectExpr("id", "tag", "gram", "count", "row_number() over (partition by id, tag order by count is null, count, gram) as place", "count(*) over (partition by id, tag) as grams")
-    seeds = own.join(each.filter("count is not null and place <= (grams + 1) div 2").select("id", "tag", "gram"), ["id", "tag", "gram"], "left_semi")
-    pairs = hits.join(seeds.select(F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), "gram", F.col("word").alias("item_word")), "gram").groupBy("id", "tag", "item_id", "item_tag").agg(F.collect_set(F.col("word") - F.col("item_word")).alias("diagonals"))
+    seeds = own.select(F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), "gram", F.col("word").alias("item_word"))
+    pairs = texts.mapInArrow(grams, shape).join(seeds, "gram").groupBy("id", "tag", "item_id", "item_tag").agg(F.collect_set(F.col("word") - F.col("item_word")).alias("diagonals"))
     p, t, q = pairs.alias("p"), texts.alias("t"), items.alias("q")
     with_text = p.join(t, F.col("p.id").eqNullSafe(F.col("t.id")) & (F.col("p.tag") == F.col("t.tag"))).join(q, F.col("p.item_id").eqNullSafe(F.col("q.id")) & (F.col("p.item_tag") == F.col("q.tag")))
     return with_text.select("p.id", "p.tag", "p.item_id", "p.diagonals", "t.text", F.col("q.text").alias("item_text")).mapInArrow(scored, "doc_id long, tag long, item_id long, score double, first_word int, end_word int")

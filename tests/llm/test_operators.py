@@ -139,3 +139,50 @@ def test_pipeline_equals_its_stages(spark):
         docs = corpus_pipeline.cut(stage(spark, docs, DATA), "test")
     assert sorted(r["doc_id"] for r in docs.collect()) == sorted(r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect())
     assert docs.columns[:2] == ["doc_id", "text"]
+
+
+def smith_waterman(text, item):
+    """The best local alignment's share, without seeds."""
+    row, best = [0] * (len(item) + 1), 0
+    for word in text:
+        last, row = row, [0]
+        for k, own in enumerate(item):
+            row.append(max(0, last[k] + (2 if own == word else -1), last[k + 1] - 1, row[k] - 1))
+        best = max(best, max(row))
+    return round(best / (2 * len(item)), 6)
+
+
+def leaks(spark, texts, items, most):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return decontaminate.contamination(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), most_broadcast=most).collect()
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_leaks_of_a_version_that_many_share(spark, most):
+    item = [f"i{k}" for k in range(20)]
+    edited = ["x" if k in (4, 10, 16) else w for k, w in enumerate(item)]
+    texts = [" ".join(["a", "b", *(edited if k else item), "c"]) for k in range(60)]
+    assert {r["doc_id"] for r in leaks(spark, texts, [" ".join(item)], most)} == set(range(60))
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_leaks_against_unseeded_alignment(spark, most):
+    own = np.random.default_rng(11)
+    items = [[f"v{k}" for k in own.integers(0, 60, n)] for n in own.integers(15, 30, 8)]
+    texts = []
+    for k in range(80):
+        words = []
+        for w in items[k % 8]:
+            if (u := own.random()) > 0.05 + 0.004 * k:
+                words.append(w)
+            if u < 0.15:
+                words += [f"v{x}" for x in own.integers(0, 60, own.integers(1, 4))]
+        texts.append([f"v{x}" for x in own.integers(0, 60, 30)] + words + [f"v{x}" for x in own.integers(0, 60, 30)])
+    texts.append(items[0][:10] + ["z"] * len(items[0][10:-2]) + items[0][10:])  # a gap as long as the threshold bears
+    grams = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in (*texts, *items)]
+    want = {(d, k): smith_waterman(t, item) for d, t in enumerate(texts) for k, item in enumerate(items) if grams[d] & grams[len(texts) + k]}
+    want = {pair: share for pair, share in want.items() if share >= decontaminate.THRESHOLD}
+    got = {}
+    for r in leaks(spark, list(map(" ".join, texts)), list(map(" ".join, items)), most):
+        got[r["doc_id"], r["item_id"]] = max(r["score"], got.get((r["doc_id"], r["item_id"]), 0))
+    assert got == want and len(want) > 40
