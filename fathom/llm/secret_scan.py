@@ -1,13 +1,20 @@
 """Operator 10: secrets by dictionary-primed zstandard novelty.
 
-Candidates are runs of at least SHORTEST key characters that follow a sensitive name (token, api_key,
-password, ...) and a separator, or that start like a known provider's key. A candidate's novelty is its
+Candidates are values that follow a sensitive name (token, accessToken, DB1_PASSWORD, ...): quoted or
+blank-delimited values whole, with any symbols, and runs of at least SHORTEST key characters; and such runs
+that start like a known provider's key. Of overlapping findings the longest is reported. A candidate's novelty is its
 marginal compressed size: the text around it is compressed with and without it, by zstandard primed with
 a dictionary of code identifiers, placeholders and sequences. Names, placeholders and repetitions cost few
 bytes; a random key costs nearly all of its own.
 
 Plan: a map over the text column in Arrow batches, then explode; no shuffle. Runs are found on byte
-arrays, so only candidates cost Python time.
+arrays and names by byte search, so only candidates cost Python time.
+
+A value ends at white space, so of a passphrase with blanks only its parts can be found. Without quotes it
+ends before &name= and the like, punctuation after it is left off, and ${NAME}, name(...) and name[...] are
+no values. A value shorter than SHORTEST needs
+two kinds of characters, and one without separator or quotes three, as novelty can't tell a short word from a
+secret. A value with symbols is at most LONGEST bytes.
 
 Defined results: null and empty texts have no findings. A run repeated in one text is reported at each
 place. A repeated row repeats its findings. Offsets are bytes of the UTF-8 text. The secret itself is not
@@ -28,11 +35,19 @@ from pyspark.sql import functions as F
 
 from fathom.llm.ragged import byte_chunks
 
-SHORTEST, AROUND, BEFORE = 12, 512, 64
+SHORTEST, LONGEST, AROUND, BEFORE = 12, 4096, 512, 64
 #: Least marginal bytes, and least marginal bytes a character.
 LEAST_BYTES, LEAST_SHARE = 10, 0.45
 NAMES = r"tokens?|secrets?|passw(?:or)?ds?|passwd|passphrase|pwd|api[_\- ]?keys?|access[_\- ]?keys?|secret[_\- ]?keys?|private[_\- ]?keys?|auth(?:orization)?|bearer|credentials?|client[_\- ]?secret|signing[_\- ]?key|encryption[_\- ]?key|session[_\- ]?id|account[_\- ]?key"
-SENSITIVE = re.compile(rf"(?i)(?<![a-z])({NAMES})[\w\-\[\]]{{0,20}}[\"'`]?\s{{0,4}}(?:(?:=>|:=|==|[=:,(]|\bis\b)\s{{0,4}})?(?:bearer\s|basic\s)?[\"'`(]{{0,2}}$".encode())
+SENSITIVE = re.compile(rf"(?i)({NAMES})[\w\-\[\]]{{0,20}}[\"'`]?\s{{0,4}}(?:(?:=>|:=|==|[=:,(]|\bis\b)\s{{0,4}})?(?:bearer\s|basic\s)?[\"'`(]{{0,2}}$".encode())
+#: Every name has one of STEMS; "key" has a word of KEYED before it.
+STEMS = (b"token", b"secret", b"passw", b"passphrase", b"pwd", b"key", b"auth", b"bearer", b"credential", b"session")
+KEYED = re.compile(rb"(?:api|access|secret|private|signing|encryption|account)[_\- ]?$")
+VALUE = re.compile(rf"(?i)({NAMES})[\w\-\[\]]{{0,20}}[\"'`]?\s{{0,4}}(?:(===?|=>|:=|[=:,(]|\bis\b)\s{{0,4}})?(bearer\s|basic\s)?\(?(?:([\"'`])((?:\\\S|(?!\4)[^\s\\])+)\4|(?<![\w\-])([^\s\"'`]\S*))".encode())
+#: A value without quotes that only names another: ${NAME}, name(...), name[...].
+REFERENCE = re.compile(rb"\$\{\w+\}|[A-Za-z_][A-Za-z_.]*[(\[].*[)\]]")
+OPENING = {b")": b"(", b"]": b"[", b"}": b"{", b">": b"<"}
+NEXT = re.compile(rb"[&;,](?=[\w.\-]+[=:])|</")
 PROVIDER = re.compile(rb"(?:AKIA[0-9A-Z]{12}|ASIA[0-9A-Z]{12}|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|eyJ[A-Za-z0-9_\-]{8,}\.|npm_|SG\.|hf_)")
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef 1234567890 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX 0000000000000000 "
@@ -74,7 +89,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
         for row in range(int(np.searchsorted(offsets, s, "right")) - 1, int(np.searchsorted(offsets, e, "left"))):
             a, b = max(s, int(offsets[row])), min(e, int(offsets[row + 1]))
             text = raw[a:b].rstrip(b"=.-~")
-            if (cut := re.match(rb"[A-Za-z_\-.]{2,40}=+", text)) and len(text) > cut.end():
+            if (cut := re.match(rb"[A-Za-z_\-.][\w\-./+~=]*=", text)) and len(text) > cut.end():
                 a, text = a + cut.end(), text[cut.end() :]
             if len(text) >= SHORTEST:
                 before = raw[max(int(offsets[row]), a - BEFORE) : a]
@@ -84,16 +99,65 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
                     yield row, a, a + len(text), "provider"
 
 
+def kinds(value: bytes) -> int:
+    """Of lower case, upper case after the first character, digits and symbols, how many value has."""
+    return sum(re.search(k, value) is not None for k in (rb"[a-z]", rb"(?<!^)[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
+
+
+def bare(value: bytes) -> bytes:
+    """A value without quotes, without what follows it."""
+    if end := NEXT.search(value):
+        value = value[: end.start()]
+    while value and (value[-1:] in b",;.\"'`" or value.count(value[-1:]) > value.count(OPENING.get(value[-1:], value[-1:]))):
+        value = value[:-1]
+    return value.rstrip(b"=.-~") if all(_KEY[c] for c in value) else value
+
+
+def values(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
+    """(row, start, end, name) of the values after sensitive names."""
+    raw = data.tobytes()
+    lower = raw.lower()
+    seen = set()
+    for stem in STEMS:
+        h = lower.find(stem)
+        while h >= 0:
+            row = int(np.searchsorted(offsets, h, "right")) - 1
+            low, high = int(offsets[row]), int(offsets[row + 1])
+            front = KEYED.search(lower[max(low, h - 12) : h]) if stem == b"key" else None
+            begin = h - len(front[0]) if front else h
+            if (front or stem != b"key") and (m := VALUE.match(raw, begin, min(high, h + BEFORE + LONGEST))):
+                value = m[5] or bare(m[6])
+                start = m.start(5) if m[5] else m.start(6)
+                least = 1 if len(value) >= SHORTEST else 2
+                if not (m[2] or m[3] or m[5]):
+                    least = 3
+                if value and (m[5] or not REFERENCE.fullmatch(value)) and kinds(value) >= least and (row, start) not in seen:
+                    seen.add((row, start))
+                    yield row, start, start + len(value), m[1].decode().lower()
+            h = lower.find(stem, h + 1)
+
+
+def longest(found: list[dict]) -> list[dict]:
+    """Of findings that overlap, the longest."""
+    out: list[dict] = []
+    for f in sorted(found, key=lambda f: (f["start"], -f["length"])):
+        if not out or f["start"] >= out[-1]["start"] + out[-1]["length"]:
+            out.append(f)
+        elif f["length"] > out[-1]["length"]:
+            out[-1] = f
+    return out
+
+
 def scan(novelty: Novelty, texts: pa.Array) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     for i, _, data, offsets in byte_chunks(texts):
-        for row, s, e, name in candidates(data, offsets):
+        for row, s, e, name in {c[:3]: c for c in (*values(data, offsets), *candidates(data, offsets))}.values():
             low, high = int(offsets[row]), int(offsets[row + 1])
             secret = data[s:e].tobytes()
             cost = novelty(data[max(low, s - AROUND) : s].tobytes(), secret, data[e : min(high, e + AROUND)].tobytes())
             if cost >= LEAST_BYTES and cost >= LEAST_SHARE * len(secret):
-                out[i + row].append({"start": s - low, "length": e - s, "name": name, "novelty": cost, "share": round(cost / len(secret), 4), "head": secret[:4].decode(), "sha256": hashlib.sha256(secret).hexdigest()})
-    return out
+                out[i + row].append({"start": s - low, "length": e - s, "name": name, "novelty": cost, "share": round(cost / len(secret), 4), "head": secret.decode(errors="ignore")[:4], "sha256": hashlib.sha256(secret).hexdigest()})
+    return [longest(found) for found in out]
 
 
 def secrets(docs: DataFrame) -> DataFrame:

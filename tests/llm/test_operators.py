@@ -186,3 +186,15 @@ def test_leaks_against_unseeded_alignment(spark, most):
     for r in leaks(spark, list(map(" ".join, texts)), list(map(" ".join, items)), most):
         got[r["doc_id"], r["item_id"]] = max(r["score"], got.get((r["doc_id"], r["item_id"]), 0))
     assert got == want and len(want) > 40
+
+
+def test_secrets_of_ordinary_names_and_values(spark):
+    key, short = "q8Zr1Lx0Vt5Nw3Kc7Hd9", "Xk9#mQ2$vL7!"
+    secret = [f"{n} = '{key}'" for n in ("accessToken", "refreshToken", "githubToken", "dbPassword", "userPassword")]
+    secret += [f"export {n}={key}" for n in ("OAUTH2_TOKEN", "S3_SECRET_KEY", "DB1_PASSWORD", "a/b2/API_KEY", "token")] + [f"https://a.b/c?access_token={key}&user=5"]
+    symbols = [f"password: '{short}'", f"password: {short}", f'"dbPassword": "{short}",', f"(pwd={short})"]
+    clean = ["the password mechanism is good", "password: mandatory", "password = getPassword(user.name())", "token = os.environ['API_TOKEN']", "password=${DB_PASSWORD}", "userPassword: changeme"]
+    want = [*[key] * len(secret), *[short] * len(symbols)]
+    docs = list(enumerate(secret + symbols + clean))
+    got = secret_scan.secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], docs[r["doc_id"]][1][r["start"] : r["start"] + r["length"]]) for r in sorted(got, key=lambda r: r["doc_id"])] == list(enumerate(want))
