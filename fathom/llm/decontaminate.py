@@ -13,9 +13,10 @@ Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. T
 Smith-Waterman's best local alignment (match 2, mismatch -1, gap -1) over the item's own best, 2 a word.
 
 Defined results: null or wordless texts and items match nothing; an item of fewer than 3 words has no
-seed and matches nothing, and so does a passage that has no three words of the item in a row. Rows of items with one item_id are items of their own; equal rows give equal
-matches once for each document row. Null ids are carried as nulls. Ties between passages of one document
-go to the earliest. Other columns are never read.
+seed and matches nothing, and so does a passage that has no three words of the item in a row. Of
+overlapping passages of one document and item the best is taken, of equal ones the earliest; every
+disjoint one is a row. Rows of items with one item_id are items of their own; equal rows give equal
+matches once for each document row. Null ids are carried as nulls. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -158,27 +159,26 @@ def promising(word: np.ndarray, begin: np.ndarray, text: np.ndarray, item: np.nd
 
 
 def passages(word: np.ndarray, counts: np.ndarray, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, bench: Benchmark, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(text, item, score, first word, end word) around seed hits: each window's best, where it reaches the threshold."""
+    """(text, item, score, first word, end word) around seed hits: each window's best passage, where it reaches the threshold, and so on before and after it."""
     text, item, low, high = windows(text, item, diagonal, bench.sizes, counts, threshold)
-    if not len(text):
-        return
     begin = first_of_document(counts)
-    good = promising(word, begin, text, item, low, high, bench, threshold)
-    text, item, low, high = text[good], item[good], low[good], high[good]
-    found = align([word[begin[t] + a : begin[t] + b] for t, a, b in zip(text, low, high)], [bench.words[k] for k in item])
-    for t, k, a, (score, start, end) in zip(text.tolist(), item.tolist(), low.tolist(), found.tolist()):
-        share = score / (2 * int(bench.sizes[k]))
-        if share >= threshold:
-            yield t, k, round(share, 6), a + start, a + end
+    while len(text):
+        good = promising(word, begin, text, item, low, high, bench, threshold)
+        text, item, low, high = text[good], item[good], low[good], high[good]
+        found = align([word[begin[t] + a : begin[t] + b] for t, a, b in zip(text, low, high)], [bench.words[k] for k in item])
+        share = found[:, 0] / (2 * bench.sizes[item])
+        hit = (share >= threshold) & (found[:, 0] > 0)
+        text, item, low, high, share, start, end = text[hit], item[hit], low[hit], high[hit], share[hit], low[hit] + found[hit, 1], low[hit] + found[hit, 2]
+        yield from zip(text.tolist(), item.tolist(), share.round(6).tolist(), start.tolist(), end.tolist())
+        text, item, low, high = np.r_[text, text], np.r_[item, item], np.r_[low, end], np.r_[start, high]
 
 
 def matches_of(word: np.ndarray, counts: np.ndarray, hit_text: np.ndarray, hit_word: np.ndarray, hit_row: np.ndarray, bench: Benchmark, threshold: float) -> dict[int, list[dict]]:
     """Matches by text; hit_row says which n-gram of the benchmark was hit at which word of which text."""
-    out: dict[int, dict[int, dict]] = {}
+    out: dict[int, list[dict]] = {}
     for t, k, share, start, end in passages(word, counts, hit_text, bench.item[hit_row], hit_word - bench.first[hit_row], bench, threshold):
-        if share > out.get(t, {}).get(k, {"score": 0})["score"]:
-            out.setdefault(t, {})[k] = {"item": k, "score": share, "first_word": start, "end_word": end}
-    return {t: [m for _, m in sorted(by.items())] for t, by in out.items()}
+        out.setdefault(t, []).append({"item": k, "score": share, "first_word": start, "end_word": end})
+    return {t: sorted(found, key=lambda m: (m["item"], m["first_word"])) for t, found in out.items()}
 
 
 def matcher(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD):
@@ -229,9 +229,7 @@ def _by_joins(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -
                 for _, _, word, counts, *_ in words_and_grams(pa.array([r["text"]], pa.string()), n):
                     diagonal = np.array(r["diagonals"], np.int64)
                     zero = np.zeros(len(diagonal), np.int64)
-                    hits = list(passages(word, counts, zero, zero, diagonal, bench, threshold))
-                    if hits:
-                        _, _, share, start, end = max(hits, key=lambda m: m[2])
+                    for _, _, share, start, end in passages(word, counts, zero, zero, diagonal, bench, threshold):
                         for k, v in zip(out, (r["id"], r["tag"], r["item_id"], share, start, end)):
                             out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
@@ -253,7 +251,7 @@ def fits(benchmark: DataFrame, most: int = MOST_BROADCAST) -> bool:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, item_id, score, first_word, end_word of every passage that scores the threshold or more."""
+    """doc_id, item_id, score, first_word, end_word of every passage that scores the threshold or more and lies apart from a better one."""
     if not fits(benchmark, most_broadcast):
         return _by_joins(docs, benchmark, n, threshold).drop("tag")
     match, ids = matcher(docs, benchmark, n, threshold)

@@ -198,3 +198,12 @@ def test_secrets_of_ordinary_names_and_values(spark):
     docs = list(enumerate(secret + symbols + clean))
     got = secret_scan.secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert [(r["doc_id"], docs[r["doc_id"]][1][r["start"] : r["start"] + r["length"]]) for r in sorted(got, key=lambda r: r["doc_id"])] == list(enumerate(want))
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_leaks_every_passage_of_an_item(spark, most):
+    item = [f"i{k}" for k in range(20)]
+    between = [f"b{k}" for k in range(100)]
+    text = between[:30] + item + between + item[:15] + ["x"] * 2 + item + ["y"] * 3 + item[2:] + between[:5]
+    got = leaks(spark, [" ".join(text)], [" ".join(item)], most)
+    assert sorted((r["first_word"], r["end_word"], r["score"]) for r in got) == [(30, 50, 1.0), (150, 165, 0.75), (167, 187, 1.0), (190, 208, 0.9)]
