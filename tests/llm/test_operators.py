@@ -207,3 +207,11 @@ def test_leaks_every_passage_of_an_item(spark, most):
     text = between[:30] + item + between + item[:15] + ["x"] * 2 + item + ["y"] * 3 + item[2:] + between[:5]
     got = leaks(spark, [" ".join(text)], [" ".join(item)], most)
     assert sorted((r["first_word"], r["end_word"], r["score"]) for r in got) == [(30, 50, 1.0), (150, 165, 0.75), (167, 187, 1.0), (190, 208, 0.9)]
+
+
+def test_near_duplicates_across_hubs(spark, monkeypatch):
+    """All in one bucket: 2 misses the hub 1, and only 3 links them."""
+    monkeypatch.setattr(near_dedup, "band_keys", lambda signatures, _: np.zeros((len(signatures), 1), np.int64))
+    rows = [(k, " ".join(f"w{x}" for x in range(at, at + 200))) for k, at in ((1, 0), (2, 100), (3, 50))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(2, 1, 3), (3, 1, 3)]
