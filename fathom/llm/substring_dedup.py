@@ -1,27 +1,34 @@
-"""Operator 3: passages of at least MIN_WORDS words that occur more than once.
+"""Operator 3: maximal passages of at least MIN_WORDS words that occur more than once.
 
 Prefix-partitioned suffix trees over words. A repeat of MIN_WORDS = ANCHOR + SPREAD - 1 words always holds,
-in every copy at the same place, the least hash among SPREAD consecutive ANCHOR-word prefixes; so only
-suffixes that start at such a place, and whose ANCHOR-word prefix occurs twice, can lie below a deep node.
-These suffixes (MIN_WORDS words, with the SPREAD - 1 words before them) are partitioned by prefix. A
-partition too large for memory is split by longer prefixes: the pairs that agree for LOW to HIGH words to
-the right, and so for MIN_WORDS - HIGH to the left, go by halves of that range, down to single lengths,
-where all members share MIN_WORDS words and need no tree. In a memory-sized partition the sorted suffixes
-and their common prefixes form the subtree; its internal nodes are visited from the deepest up, and each
-node's members extend to the left as far as two of them agree. Node depth plus extension of MIN_WORDS or
-more is a maximal repeat; a document's overlapping repeats form one passage.
-
-Plan: a pass over the texts emits (prefix hash, document, place) of about one word in 13; a window keeps
-those that repeat; texts join their places, and only repeated surroundings, 32 bits a word, are shuffled
-and sorted by Spark before the trees are built over Arrow batches.
+in every copy at the same place, the least hash among SPREAD consecutive ANCHOR-word prefixes (an anchor);
+so suffixes are taken at anchors only, with the SPREAD words before them. Anchors whose prefix occurs with
+two different chunks of text before it can begin a repeat; where all copies go on to the left alike, an
+earlier anchor has the same repeats. The suffixes are partitioned by their prefix. A partition too large for
+memory is split by longer prefixes: all its members share one passage, and repeats longer to the right (or,
+of that right end, longer to the left) lie in the partitions of the next word. In a memory-sized partition
+the sorted suffixes and their common prefixes form the subtree; its internal nodes are visited from the
+deepest up, and each member's best agreement to the left within a node gives a maximal repeat. Suffixes that
+agree as far as they were read are read on, GROWTH times further each round, under a prefix of that length.
+
+A run of equal words is one symbol with its length, and only the anchors of its first and last MIN_WORDS
+words count, so texts of one word repeated cost no more than others. Period 2 and more has no such relief.
+
+Result: of each document the repeats that no longer repeat of it contains. A row is an occurrence of a
+maximal repeat (longer on either side it would occur fewer times), with the number of its occurrences in
+all texts (overlapping ones and those in one text too) and the least doc_id that has it.
+
+Plan: a pass over the texts emits (prefix hash, document, place, chunk bits) of about one word in 13; a
+bit-or by prefix tells which begin repeats; texts that have such places move once, by key; their
+surroundings, 32 bits a word, are partitioned and sorted by Spark before the trees are built over Arrow batches.
 
 Words are runs of bytes other than ASCII white space, compared exactly, by 64-bit hashes of prefixes and
-32-bit hashes of words.
+31-bit hashes of words.
 
-Defined results: null, empty and shorter texts have no passages. Repeats within one document count,
-overlapping ones too. Every row is an occurrence, repeated rows too, and such rows share one result row.
-Rows with a null doc_id take part; their passages carry a null, and original_doc_id is the least id that
-isn't null. Other columns are never read.
+Defined results: null, empty and shorter texts have no passages. Every row is an occurrence, repeated rows
+too, and such rows share one result row. doc_id may be of any type that has an order; rows with a null
+doc_id take part, their passages carry a null, and original_doc_id is the least id that isn't null. Other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -30,28 +37,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fathom.llm.ragged import NONSPACE, byte_chunks, chain, first_of_document, ngram_starts, span_hashes, word_spans
+from fathom.llm.ragged import NONSPACE, byte_chunks, chain, first_of_document, mix, ngram_starts, span_hashes, word_spans
 from fathom.llm.scratch import cut
 
 MIN_WORDS, ANCHOR = 50, 26
-#: Most suffixes of a partition whose tree is built in memory: 50,000 take 15 MB.
-GROUP = 50_000
-BATCH = 20_000
-_LAST = np.int64(1) << np.int64(62)
-
-
-def anchors(data: np.ndarray, offsets: np.ndarray, anchor: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place and prefix hash of every window's least prefix (the first of equals)."""
-    starts, ends, counts = word_spans(data, offsets, NONSPACE)
-    at, doc = ngram_starts(counts, anchor)
-    hashes = chain(span_hashes(data, starts, ends), at, anchor)
+#: Most bytes of a partition whose tree is built in memory.
+GROUP = 16 << 20
+#: Symbols of a suffix that are read in the first round, and how much further each next round reads.
+FIRST, GROWTH = 100, 4
+#: Symbols of a batch of trees.
+BATCH = 4_000_000
+_MARK = np.uint32(1 << 31)
+_LOW = (1 << 31) - 1
+
+
+class Runs:
+    """The texts of a chunk as words, and as runs of equal words: a symbol a run, and one more, _MARK | size, for a run of several."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, self.counts = word_spans(data, offsets, NONSPACE)
+        self.words = span_hashes(data, starts, ends)
+        n = len(self.words)
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.begin = first_of_document(self.counts)
+        new = np.ones(n, bool)
+        new[1:] = (self.words[1:] != self.words[:-1]) | (self.doc[1:] != self.doc[:-1])
+        self.first, self.run = np.flatnonzero(new), np.cumsum(new) - 1
+        self.size = np.diff(np.r_[self.first, n])
+
+    def symbols(self) -> None:
+        """Forward and backward symbol streams, and where runs and documents lie in them."""
+        self.word = (self.words[self.first] >> np.uint64(33)).astype(np.uint32)
+        wide = 1 + (self.size > 1)
+        self.total = int(wide.sum())
+        self.at = np.cumsum(wide) - wide
+        self.stream, self.back = np.zeros(self.total + 1, np.uint32), np.zeros(self.total + 1, np.uint32)
+        many = self.size > 1
+        mark = _MARK | self.size[many].astype(np.uint32)
+        self.stream[self.at], self.stream[self.at[many] + 1] = self.word, mark
+        reverse = self.total - self.at - wide
+        self.back[reverse], self.back[reverse[many] + 1] = self.word, mark
+        each = np.bincount(self.doc[self.first], wide, len(self.counts)).astype(np.int64)
+        self.doc_end = np.cumsum(each)
+        self.doc_start = self.doc_end - each
+        self.before = np.r_[0, np.cumsum(weights(self.stream[: self.total]))]
+
+
+def weights(symbols: np.ndarray) -> np.ndarray:
+    """Words that a symbol stands for."""
+    return np.where(symbols >= _MARK, (symbols & np.uint32(_LOW)).astype(np.int64) - 1, 1)
+
+
+def anchors(t: Runs, anchor: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word index, prefix hash, hash of the chunk since the anchor before, and whether it is a text's first: of every window's least prefix.
+
+    Of a run longer than anchor + spread - 1 words only so many stand in the windows. Anchors there are given
+    as counted from the run's start and from its end.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    cap = anchor + spread - 1
+    inside = np.arange(len(t.words)) - t.first[t.run]
+    real = np.flatnonzero(inside < cap)
+    words, own = t.words[real], t.doc[real]
+    at, doc = ngram_starts(np.bincount(own, minlength=len(t.counts)), anchor)
+    hashes = chain(words, at, anchor)
     n = len(hashes)
     if n < spread:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none
     # 40 bits of hash with the place below them: the least value also says where it is
     value = (hashes >> np.uint64(24) << np.uint64(24)) | (np.arange(n, dtype=np.uint64) & np.uint64((1 << 24) - 1))
     width, least = 1, value
@@ -60,187 +117,366 @@ def anchors(data: np.ndarray, offsets: np.ndarray, anchor: int, spread: int) ->
         width *= 2
     windows = n - spread + 1
     least = np.minimum(least[:windows], least[spread - width : spread - width + windows])
-    inside = doc[:windows] == doc[spread - 1 :]
-    places = np.flatnonzero(inside) & ~np.int64((1 << 24) - 1)
-    low = (least[inside] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    base = np.flatnonzero(inside)
-    place = places + low
-    place = np.where(place < base, place + (1 << 24), place)
-    place = np.unique(place)
-    return doc[place], at[place] - first_of_document(counts)[doc[place]], hashes[place]
+    base = np.flatnonzero(doc[:windows] == doc[spread - 1 :])
+    if not len(base):
+        return none
+    place = (base & ~np.int64((1 << 24) - 1)) + (least[base] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    place = np.unique(np.where(place < base, place + (1 << 24), place))
+    capped = at[place]
+    first = np.r_[True, doc[place][1:] != doc[place][:-1]]
+    chunk = span_hashes(words, np.where(first, capped, np.r_[0, capped[:-1]]), capped)
+    index, run = real[capped], t.run[real[capped]]
+    long = t.size[run] > cap
+    from_start = ~long | (inside[index] + anchor <= cap)
+    # A long run overlaps itself from its first and second word.
+    own = np.repeat(t.first[t.size > cap], 2)
+    pure = chain(np.repeat(t.words[own][:, None], anchor, axis=1).ravel(), np.arange(len(own)) * anchor, anchor)
+    own[1::2] += 1
+    index = np.r_[index[from_start], (index + t.size[run] - cap)[long], own]
+    return index, *(np.r_[x[from_start], x[long], y] for x, y in ((hashes[place], pure), (chunk, t.words[own]), (first, np.ones(len(own), bool))))
 
 
 def _anchor_rows(anchor: int, spread: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, data, offsets in byte_chunks(batch.column(1)):
-                doc, place, prefix = anchors(data, offsets, anchor, spread)
-                yield pa.record_batch([pa.array(prefix.view(np.int64)), batch.column(0).take(pa.array(doc + i)), pa.array(place, pa.int32())], ["g", "key", "at"])
+            number = np.asarray(batch.column(1)).astype(np.uint64)
+            for i, _, data, offsets in byte_chunks(batch.column(2)):
+                t = Runs(data, offsets)
+                index, prefix, chunk, first = anchors(t, anchor, spread)
+                doc = t.doc[index]
+                # What is before a text is like nothing else.
+                chunk = np.where(first, mix((number[i + doc] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + index.astype(np.uint64)), chunk)
+                low = (chunk & np.uint64(_LOW)).astype(np.int64)
+                bits = low | (low ^ _LOW) << 32
+                yield pa.record_batch([pa.array(prefix.view(np.int64)), batch.column(0).take(pa.array(doc + i)), pa.array(index - t.begin[doc], pa.int32()), pa.array(bits)], ["g", "key", "at", "bits"])
 
     return run
 
 
-def _ragged(begin: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
-    return np.repeat(begin, size) + step * (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _binary(words: np.ndarray, index: np.ndarray, size: np.ndarray) -> pa.Array:
+def _binary(symbols: np.ndarray, size: np.ndarray) -> pa.Array:
     offsets = np.r_[0, np.cumsum(4 * size)].astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(words[index].astype(">u4").tobytes())])
-
-
-def _suffix_rows(min_words: int, anchor: int):
-    before = min_words - anchor
-
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(symbols.astype(">u4").tobytes())])
+
+
+def suffixes(t: Runs, index: np.ndarray, skip: np.ndarray, anchor: int, spread: int, width: int) -> tuple:
+    """Of each word index: partition, words of the skipped symbols, left and right symbols with their numbers, whether the right goes on, and whether the left is all there is."""
+    t.symbols()
+    doc, run = t.doc[index], t.run[index]
+    inside = index - t.first[run]
+    rest = t.size[run] - inside
+    start = t.at[run] + ((inside > 0) & (rest == 1))
+    begin = start + skip
+    end = np.minimum(begin + width, t.doc_end[doc])
+    end += (end < t.doc_end[doc]) & (t.stream[end] >= _MARK)  # never between a word and its mark
+    size = end - begin
+    right = t.stream[_ragged(begin, size)]
+    row = np.cumsum(size) - size
+    now = np.flatnonzero((skip == 0) & (size > 0))
+    right[row[now]] = t.word[run[now]]
+    part = (inside > 0) & (rest > 1)
+    now = np.flatnonzero((skip == 0) & part & (size > 1))
+    right[row[now] + 1] = _MARK | rest[now].astype(np.uint32)
+    words = np.where(skip > 0, t.before[begin] - t.before[t.at[run]] - inside, 0)
+    second = np.where(part, _MARK | rest.astype(np.uint32), t.stream[np.minimum(start + 1, t.total)]).astype(np.uint64)
+    read = np.minimum(start + 2, begin)
+    deep = mix(t.word[run].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + second * np.uint64(0xC2B2AE3D27D4EB4F) + span_hashes(t.stream[: t.total], read, np.maximum(begin, read)))
+    prefix = np.where(skip > 0, deep, chain(t.words, index, anchor))
+
+    cap = anchor + spread - 1
+    capped = np.minimum(t.size, cap)
+    sums = np.cumsum(capped) - capped
+    have = sums[run] + np.minimum(inside, cap)
+    opening = sums[t.run[t.begin[doc]]]
+    bound = have - opening <= spread
+    farthest = np.maximum(np.searchsorted(sums, have - spread, "right") - 1, 0)
+    stop = t.total - np.where(bound, t.doc_start[doc], t.at[farthest])
+    first = t.total - t.at[run] - np.minimum(inside, 2)
+    first = np.where(inside > 1, t.total - t.at[run] - 1 - (t.size[run] > 1), first)
+    length = stop - first
+    left = t.back[_ragged(first, length)]
+    row = np.cumsum(length) - length
+    now = np.flatnonzero(inside > 0)
+    left[row[now]] = t.word[run[now]]
+    now = np.flatnonzero(inside > 1)
+    left[row[now] + 1] = _MARK | inside[now].astype(np.uint32)
+    return prefix, words, left, length, right, size, end < t.doc_end[doc], bound
+
+
+def _suffix_rows(anchor: int, spread: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, lists = batch.column(0), batch.column(1), batch.column(3)
             edge = np.asarray(lists.offsets)
-            every = np.asarray(lists.values)
+            place, skips = (np.asarray(lists.values.field(k)).astype(np.int64) for k in range(2))
             for i, j, data, offsets in byte_chunks(batch.column(2)):
-                starts, ends, counts = word_spans(data, offsets, NONSPACE)
-                hashes = span_hashes(data, starts, ends)
-                many = np.diff(edge[i : j + 1])
-                doc = np.repeat(np.arange(j - i), many)
-                at = every[edge[i] : edge[j]].astype(np.int64)
-                keep = at + anchor <= counts[doc]
-                doc, at = doc[keep], at[keep]
-                word = first_of_document(counts)[doc] + at
-                right, left = np.minimum(min_words, counts[doc] - at), np.minimum(before, at)
-                short = (hashes >> np.uint64(32)).astype(np.uint32)
+                t = Runs(data, offsets)
+                doc = np.repeat(np.arange(j - i), np.diff(edge[i : j + 1]))
+                at, skip = place[edge[i] : edge[j]], skips[edge[i] : edge[j]]
+                keep = at + anchor <= t.counts[doc]
+                doc, at, skip = doc[keep], at[keep], skip[keep]
+                if not len(doc):
+                    continue
+                prefix, words, left, length, right, size, goes_on, bound = suffixes(t, t.begin[doc] + at, skip, anchor, spread, width)
                 rows = pa.array(doc + i)
                 yield pa.record_batch(
-                    [pa.array(chain(hashes, word, anchor).view(np.int64)), ids.take(rows), keys.take(rows), pa.array(at, pa.int32()), _binary(short, _ragged(word, right, 1), right), _binary(short, _ragged(word - 1, left, -1), left)],
-                    ["g", "id", "key", "at", "suffix", "before"],
+                    [pa.array(prefix.view(np.int64)), ids.take(rows), keys.take(rows), pa.array(at, pa.int32()), pa.array(skip, pa.int32()), pa.array(words, pa.int32()), _binary(left, length), _binary(right, size), pa.array(goes_on), pa.array(bound)],
+                    ["g", "id", "key", "at", "skip", "lo", "left", "right", "goes_on", "bound"],
                 )
 
     return run
 
 
-def _matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each row, zero beyond its length; and the lengths."""
-    edge = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
-    size = np.diff(edge) // 4
-    out = np.zeros((len(size), width), np.uint32)
-    raw = values.buffers()[2]
-    flat = np.frombuffer(raw, np.uint8)[edge[0] : edge[-1]].view(">u4") if raw is not None and len(size) else np.zeros(0, ">u4")
-    out[np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = flat
-    return out, size.astype(np.int64)
-
-
-def _common(words: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words on which rows a and b agree from their start."""
-    differ = words[a] != words[b]
-    first = np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
-    return np.minimum(first, np.minimum(size[a], size[b]))
-
-
-def tree_repeats(group: np.ndarray, suffix: np.ndarray, suffix_size: np.ndarray, before: np.ndarray, before_size: np.ndarray, ids: np.ndarray, min_words: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Of suffixes sorted by group and words: words covered to the left and right (0 right: none), members and least id of the deepest node that says so."""
+class Symbols:
+    """Ragged symbol rows as a matrix, zero beyond their ends."""
+
+    def __init__(self, values: pa.Array):
+        n = len(values)
+        edge = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + n + 1] if n else np.zeros(1, np.int32)
+        self.size = (np.diff(edge) // 4).astype(np.int64)
+        self.cell = np.zeros((n, max(1, int(self.size.max(initial=0)))), np.uint32)
+        raw = values.buffers()[2]
+        if raw is not None and n:
+            self.cell[np.repeat(np.arange(n), self.size), _ragged(np.zeros(n, np.int64), self.size)] = np.frombuffer(raw, np.uint8)[edge[0] : edge[-1]].view(">u4")
+        self.words = np.cumsum(weights(self.cell), axis=1)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and words on which rows a and b agree from their start."""
+        differ = self.cell[a] != self.cell[b]
+        at = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1]), np.minimum(self.size[a], self.size[b]))
+        words = np.where(at > 0, self.words[a, np.maximum(at - 1, 0)], 0)
+        here = np.minimum(at, differ.shape[1] - 1)
+        x, y = self.cell[a, here], self.cell[b, here]
+        both = (at < self.size[a]) & (at < self.size[b]) & (x >= _MARK) & (y >= _MARK)
+        return at, words + np.where(both, np.minimum(x, y).astype(np.int64) - int(_MARK) - 1, 0)
+
+    def order(self) -> np.ndarray:
+        return np.lexsort(np.vstack([self.size, self.cell.T[::-1]]))
+
+
+def nodes(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last row of the node of each pair of neighbours: as far as neighbours share at least as much."""
+    n = len(shared)
+    low, high, values = np.zeros(n, np.int64), np.full(n, n, np.int64), shared.tolist()
+    stack: list[int] = []
+    for k, v in enumerate(values):
+        while stack and values[stack[-1]] > v:
+            high[stack.pop()] = k
+        # equal neighbours above the same lower one are one node
+        low[k] = low[stack[-1]] if stack and values[stack[-1]] == v else (stack[-1] + 1 if stack else 0)
+        if stack and values[stack[-1]] == v:
+            high[stack[-1]] = -1
+            stack.pop()
+        stack.append(k)
+    return low, high
+
+
+def tree_repeats(group: np.ndarray, lo: np.ndarray, right: Symbols, left: Symbols, ids: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of suffixes sorted by group and right symbols: row, words to the left and to the right, members and least id of each node that shows a row more to its left than deeper nodes do."""
     n = len(group)
-    left, right, copies, original = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), ids.copy()
-    if n < 2:
-        return left, right, copies, original
-    row = np.arange(n - 1)
-    shared = np.where(group[1:] == group[:-1], _common(suffix, suffix_size, row, row + 1), 0)
-    order = np.lexsort(before.T[::-1])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    # Internal nodes by depth, the deepest first: a node is a run whose neighbours share at least its depth.
-    for depth in range(min_words, anchor - 1, -1):
-        if not (shared == depth).any():
-            continue
-        run = np.r_[0, np.cumsum(shared < depth)]
-        new = np.zeros(run[-1] + 1, bool)
-        new[run[1:][shared == depth]] = True
-        member = np.flatnonzero(new[run])
-        node = run[member]
-        by_left = member[np.lexsort((rank[member], node))]
-        inside = run[by_left[1:]] == run[by_left[:-1]]
-        agree = np.where(inside, _common(before, before_size, by_left[:-1], by_left[1:]), -1)
-        best = np.maximum(np.r_[-1, agree], np.r_[agree, -1])
-        good = best + depth >= min_words
-        who, best = by_left[good], best[good]
-        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        size, least = np.diff(np.r_[first, len(node)]), np.minimum.reduceat(ids[member], first)
-        which = np.searchsorted(node[first], run[who])
-        fresh = right[who] == 0
-        copies[who[fresh]], original[who[fresh]] = size[which[fresh]], least[which[fresh]]
-        original[who] = np.minimum(original[who], least[which])
-        left[who], right[who] = np.maximum(left[who], best), np.maximum(right[who], depth)
-    return left, right, copies, original
-
-
-def _tree_rows(min_words: int, anchor: int):
+    out = [np.zeros((0, 5), np.int64)]
+    if n > 1:
+        row = np.arange(n - 1)
+        same = group[1:] == group[:-1]
+        shared = np.where(same, right.common(row, row + 1)[1] + lo[1:], -1)
+        low, high = nodes(shared)
+        rank = np.empty(n, np.int64)
+        rank[left.order()] = np.arange(n)
+        top = np.full(n, -1, np.int64)
+        heads = np.flatnonzero((shared > 0) & (high >= 0))
+        heads = heads[np.argsort(-shared[heads], kind="stable")]
+        for part in np.split(heads, np.flatnonzero(np.diff(shared[heads])) + 1) if len(heads) else []:
+            depth = int(shared[part[0]])
+            size = high[part] - low[part] + 1
+            member = _ragged(low[part], size)
+            node = np.repeat(np.arange(len(part)), size)
+            order = np.lexsort((rank[member], node))
+            member = member[order]
+            agree = np.where(node[1:] == node[:-1], left.common(member[:-1], member[1:])[1], -1)
+            best = np.maximum(np.r_[-1, agree], np.r_[agree, -1])
+            fresh = np.flatnonzero((best > top[member]) & (best + depth >= min_words))
+            for value in np.unique(best[fresh]):
+                mine = fresh[best[fresh] == value]
+                family = np.r_[0, np.cumsum(agree < value)]
+                first = np.flatnonzero(np.r_[True, agree < value])
+                least, count = np.minimum.reduceat(ids[member], first), np.diff(np.r_[first, len(member)])
+                own = family[mine]
+                out.append(np.stack([member[mine], np.full(len(mine), value), np.full(len(mine), depth), count[own], least[own]], axis=1))
+            top[member] = np.maximum(top[member], best)
+    return tuple(np.concatenate(out).T)
+
+
+def _ranked(ids: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Numbers in the order of the ids, the last for null; and the ids by number."""
+    own = pc.unique(ids.drop_null())
+    own = own.take(pc.sort_indices(own))
+    number = pc.index_in(ids, own).fill_null(len(own))
+    return np.asarray(number).astype(np.int64), pa.concat_arrays([own, pa.nulls(1, own.type)])
+
+
+def _tree_rows(min_words: int):
     def finish(table: pa.Table) -> pa.RecordBatch:
         col = {c: table.column(c).combine_chunks() for c in table.column_names}
-        suffix, suffix_size = _matrix(col["suffix"], min_words)
-        before, before_size = _matrix(col["before"], min_words - anchor)
-        ids = np.where(np.asarray(col["id"].is_null()), _LAST, np.asarray(col["id"].fill_null(0)))
-        left, right, copies, original = tree_repeats(np.asarray(col["g"]), suffix, suffix_size, before, before_size, ids, min_words, anchor)
-        hit = np.flatnonzero(right)
-        rows, at = pa.array(hit), np.asarray(col["at"])[hit]
+        group, lo, at = (np.asarray(col[c]).astype(np.int64) for c in ("g", "lo", "at"))
+        right, left = Symbols(col["right"]), Symbols(col["left"])
+        ids, named = _ranked(col["id"])
+        row, before, after, copies, least = tree_repeats(group, lo, right, left, ids, min_words)
+        # Equal suffixes that go on are read further, unless all go on to the left alike.
+        n = len(group)
+        equal = np.zeros(max(0, n - 1), bool)
+        if n > 1:
+            k = np.arange(n - 1)
+            equal = (group[1:] == group[:-1]) & (right.size[1:] == right.size[:-1]) & (right.common(k, k + 1)[0] == right.size[1:])
+        order = left.order()
+        kind = np.empty(n, np.int64)
+        kind[order] = np.r_[0, np.cumsum((left.cell[order[1:]] != left.cell[order[:-1]]).any(axis=1) | (left.size[order[1:]] != left.size[order[:-1]]))]
+        first = np.flatnonzero(np.r_[True, ~equal])
+        family = np.r_[0, np.cumsum(~equal)]
+        goes_on, bound = np.asarray(col["goes_on"].to_numpy(zero_copy_only=False)).astype(bool), np.asarray(col["bound"].to_numpy(zero_copy_only=False)).astype(bool)
+        several = np.add.reduceat(goes_on.astype(np.int64), first) > 1
+        diverse = (np.minimum.reduceat(kind, first) != np.maximum.reduceat(kind, first)) | np.maximum.reduceat(bound, first)
+        more = np.flatnonzero(goes_on & (several & diverse)[family])
+        rows = pa.array(np.r_[row, more])
+        blank = pa.nulls(len(more), pa.int32())
         return pa.record_batch(
-            [col["id"].take(rows), col["key"].take(rows), pa.array(at - left[hit], pa.int32()), pa.array(at + right[hit], pa.int32()), pa.array(copies[hit]), pa.array(original[hit], mask=original[hit] == _LAST)],
-            ["id", "key", "first_word", "end_word", "copies", "original"],
-        )
+            [
+                col["id"].take(rows), col["key"].take(rows), col["at"].take(rows), pa.concat_arrays([pa.array(at[row] - before, pa.int32()), blank]), pa.concat_arrays([pa.array(at[row] + after, pa.int32()), blank]),
+                pa.array(np.r_[copies, np.zeros(len(more), np.int64)]), named.take(pa.array(np.r_[least, np.full(len(more), len(named) - 1)])), pa.concat_arrays([pa.nulls(len(row), pa.int32()), pa.array((np.asarray(col["skip"]).astype(np.int64) + right.size)[more], pa.int32())]),
+            ],
+            ["id", "key", "at", "first_word", "end_word", "copies", "original", "more"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
+        rows = widest = 0
         for batch in batches:
+            if not len(batch):
+                continue
             waiting.append(batch)
-            if sum(len(b) for b in waiting) >= BATCH:
+            rows, widest = rows + len(batch), max(widest, pc.max(pc.binary_length(batch.column("right"))).as_py() // 4 + 2 * min(64, pc.max(pc.binary_length(batch.column("left"))).as_py() // 4))
+            if rows * max(1, widest) >= BATCH:
                 table = pa.Table.from_batches(waiting)
                 g = np.asarray(table.column("g"))
                 whole = int(np.searchsorted(g, g[-1]))  # the last group may go on
                 if whole:
                     yield finish(table.slice(0, whole))
-                waiting = table.slice(whole).to_batches()
+                waiting, rows, widest = table.slice(whole).to_batches(), len(table) - whole, 0 if whole else widest
         if waiting:
             yield finish(pa.Table.from_batches(waiting))
 
     return run
 
 
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each large partition, from its least and greatest right and left symbols: what all its members share."""
+    for batch in batches:
+        both = {}
+        for side in ("right", "left"):
+            s = Symbols(pa.concat_arrays([batch.column(f"least_{side}"), batch.column(f"most_{side}")]))
+            n = len(batch)
+            at, words = s.common(np.arange(n), np.arange(n) + n)
+            # All members have a mark there if the least one has.
+            marked = (at < s.size[:n]) & (s.cell[np.arange(n), np.minimum(at, s.cell.shape[1] - 1)] >= _MARK)
+            both[side] = at, words, marked
+        r, left = both["right"], both["left"]
+        yield pa.record_batch(
+            [batch.column("g"), pa.array(4 * r[0], pa.int32()), pa.array(r[1], pa.int32()), pa.array(r[2]), pa.array(4 * left[0], pa.int32()), pa.array(left[1], pa.int32()), pa.array(left[2]), batch.column("members"), batch.column("original")],
+            ["g", "right_bytes", "right_words", "right_marked", "left_bytes", "left_words", "left_marked", "members", "original"],
+        )
+
+
+def _partitions(rows: DataFrame, min_words: int, group: int, kind: str) -> list[DataFrame]:
+    """The trees' rows of all partitions; large ones are split by longer prefixes until all fit."""
+    shape = f"id {kind}, key long, at int, first_word int, end_word int, copies long, original {kind}, more int"
+    names = [c.split()[0] for c in shape.split(", ")]
+    columns = rows.columns
+    trees = lambda some: some.repartition("g").sortWithinPartitions("g", "right").mapInArrow(_tree_rows(min_words), shape)
+    done = []
+    while True:
+        size = F.sum(F.octet_length("left") + F.octet_length("right") + 32)
+        large = cut(rows.groupBy("g").agg(size.alias("bytes")).filter(F.col("bytes") > group).select("g"), "large")
+        if large.isEmpty():
+            return done + [trees(rows)]
+        big = rows.join(large, "g")
+        ends = [f(side).alias(f"{name}_{side}") for side in ("right", "left") for name, f in (("least", F.min), ("most", F.max))]
+        facts = big.groupBy("g").agg(F.count("*").alias("members"), F.min("id").alias("original"), *ends)
+        shared = cut(facts.mapInArrow(_shared_rows, f"g long, right_bytes int, right_words int, right_marked boolean, left_bytes int, left_words int, left_marked boolean, members long, original {kind}"), "shared")
+        known = cut(big.join(shared, "g"), "members")
+        # Runs of different lengths are no prefixes of each other: they stay together, whatever their number.
+        done.append(trees(rows.join(large, "g", "left_anti").unionByName(known.filter("right_marked or (left_marked and length(right) = right_bytes)").select(columns))))
+        apart = known.filter("not (right_marked or (left_marked and length(right) = right_bytes))")
+        reach = F.col("lo") + F.col("right_words")
+        done.append(apart.filter(reach + F.col("left_words") >= min_words).select("id", "key", "at", (F.col("at") - F.col("left_words")).alias("first_word"), (F.col("at") + reach).alias("end_word"), F.col("members").alias("copies"), "original", F.lit(None).cast("int").alias("more")).select(names))
+        reads_on = apart.filter("goes_on and length(right) = right_bytes and (bound or length(left) > left_bytes)")
+        done.append(reads_on.select("id", "key", "at", *[F.lit(None).cast("int").alias(c) for c in ("first_word", "end_word")], F.lit(0).cast("long").alias("copies"), F.lit(None).cast(kind).alias("original"), F.expr("skip + length(right) div 4").cast("int").alias("more")).select(names))
+
+        def next_prefix(side: str, tag: int):
+            marked = F.expr(f"substring({side}, {side}_bytes + 1, 1) >= X'80'")
+            return F.xxhash64(F.lit(tag), "g", F.expr(f"substring({side}, 1, {side}_bytes)"), F.when(marked, F.lit(None)).otherwise(F.expr(f"substring({side}, {side}_bytes + 1, 4)")))
+
+        longer = apart.filter("length(right) > right_bytes").withColumn("g", next_prefix("right", 1)).select(columns)
+        sideways = apart.filter("length(left) > left_bytes").withColumns({"g": next_prefix("left", 2), "right": F.expr("substring(right, 1, right_bytes)"), "goes_on": F.lit(False)}).select(columns)
+        rows = cut(longer.unionByName(sideways), "parts")
+
+
+def _run_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, data, offsets in byte_chunks(batch.column(2)):
+                t = Runs(data, offsets)
+                long = np.flatnonzero(t.size >= min_words)
+                doc = t.doc[t.first[long]]
+                rows, start = pa.array(doc + i), t.first[long] - t.begin[doc]
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(t.words[t.first[long]].view(np.int64)), pa.array(start, pa.int32()), pa.array(start + t.size[long], pa.int32())], ["id", "key", "word", "start", "stop"])
+
+    return run
+
+
+def _counted_in_runs(spans: DataFrame, held: DataFrame, min_words: int, kind: str) -> DataFrame:
+    """spans with the copies of those within a run of one word counted over all runs: a run of n holds n - k + 1 passages of k."""
+    runs = cut(held.select("id", "key", "text").mapInArrow(_run_rows(min_words), f"id {kind}, key long, word long, start int, stop int"), "runs")
+    lengths = runs.groupBy("word", (F.col("stop") - F.col("start")).alias("n")).agg(F.count("*").alias("c"))
+    s, r = spans.alias("s"), runs.distinct().alias("r")
+    inside = (F.col("s.key") == F.col("r.key")) & F.col("s.id").eqNullSafe(F.col("r.id")) & (F.col("s.first_word") >= F.col("r.start")) & (F.col("s.end_word") <= F.col("r.stop"))
+    marked = cut(s.join(r, inside, "left").select("s.*", "r.word", F.expr("s.end_word - s.first_word").alias("k")), "marked")
+    asked = marked.filter("word is not null").select("word", "k").distinct()
+    total = asked.join(lengths, "word").filter("n >= k").groupBy("word", "k").agg(F.sum(F.expr("c * (n - k + 1)")).alias("all"))
+    return marked.join(total, ["word", "k"], "left").withColumn("copies", F.coalesce("all", "copies")).drop("word", "k", "all")
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """doc_id, first_word, end_word, copies and original_doc_id of each repeated passage."""
+    """doc_id, first_word, end_word, copies and original_doc_id of each maximal repeat of a document that none of its longer ones contains."""
     spread = min_words - anchor + 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= 2 * min_words - 1).withColumn("key", F.xxhash64("id", "text"))
-    found = texts.select("key", "text").mapInArrow(_anchor_rows(anchor, spread), "g long, key long, at int")
-    twice = found.withColumn("n", F.count("*").over(W.partitionBy("g"))).filter("n > 1")
-    places = twice.groupBy("key").agg(F.collect_set("at").alias("places"))
-    shape = "g long, id long, key long, at int, suffix binary, before binary"
-    rows = texts.join(places, "key").select("id", "key", "text", "places").mapInArrow(_suffix_rows(min_words, anchor), shape)
-    rows = cut(rows, "suffixes")
-    sizes = cut(rows.groupBy("g").count().filter(F.col("count") > group).select("g"), "large")
-    spans = []
-    level = rows if sizes.isEmpty() else rows.join(sizes, "g", "left_anti")
-    large = None if sizes.isEmpty() else rows.join(sizes, "g", "left_semi").withColumn("low", F.lit(anchor)).withColumn("high", F.lit(min_words))
-    out = "id long, key long, first_word int, end_word int, copies long, original long"
-    trees = lambda some: some.repartition("g").sortWithinPartitions("g", "suffix").select("g", "id", "key", "at", "suffix", "before").mapInArrow(_tree_rows(min_words, anchor), out)
-    spans.append(trees(level))
-    while large is not None:
-        half = F.expr("(low + high) div 2")
-        parts = F.explode(F.array(F.struct(F.col("low").alias("l"), half.alias("h")), F.struct((half + 1).alias("l"), F.col("high").alias("h"))))
-        split = large.withColumn("part", parts).withColumn("low", F.col("part.l").cast("int")).withColumn("high", F.col("part.h").cast("int")).drop("part")
-        split = split.filter(F.expr(f"length(suffix) >= 4 * low and length(before) >= 4 * ({min_words} - high)"))
-        split = cut(split.withColumn("g", F.expr(f"xxhash64(low, high, substring(suffix, 1, 4 * low), substring(before, 1, 4 * ({min_words} - high)))")), "split")
-        number = split.groupBy("g").count()
-        single = W.partitionBy("g")
-        leaf = split.filter("low = high").withColumn("copies", F.count("*").over(single)).withColumn("original", F.min("id").over(single)).filter("copies > 1")
-        spans.append(leaf.select("id", "key", F.expr(f"at - ({min_words} - low)").cast("int").alias("first_word"), F.expr("at + low").cast("int").alias("end_word"), "copies", "original"))
-        inner = split.filter("low < high")
-        sizes = cut(number.filter(F.col("count") > group).select("g"), "large")
-        spans.append(trees(inner.join(sizes, "g", "left_anti")))
-        large = cut(inner.join(sizes, "g", "left_semi"), "larger")
-        if large.isEmpty():
-            large = None
-    both = spans[0]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= 2 * min_words - 1).withColumn("key", F.xxhash64("id", "text"))
+    numbered = texts.select("key", F.monotonically_increasing_id().alias("number"), "text")
+    found = cut(numbered.mapInArrow(_anchor_rows(anchor, spread), "g long, key long, at int, bits long"), "anchors")
+    diverse = cut(found.groupBy("g").agg(F.bit_or("bits").alias("bits")).filter(f"bits & shiftright(bits, 32) & {_LOW} <> 0").select("g"), "diverse")
+    places = found.select("g", "key", "at").join(diverse, "g", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", F.lit(0).alias("skip"))).alias("places"))
+    held = cut(texts.join(places, "key").select("id", "key", "text", "places"), "held")
+    shape = f"g long, id {kind}, key long, at int, skip int, lo int, left binary, right binary, goes_on boolean, bound boolean"
+    spans, width, now = [], FIRST, held
+    while True:
+        rows = cut(now.mapInArrow(_suffix_rows(anchor, spread, width), shape), "suffixes")
+        parts = _partitions(rows, min_words, group, kind)
+        both = parts[0]
+        for more in parts[1:]:
+            both = both.unionByName(more)
+        both = cut(both, "repeats")
+        spans.append(both.filter("more is null").select("id", "key", "first_word", "end_word", "copies", "original"))
+        onward = both.filter("more is not null")
+        if onward.isEmpty():
+            break
+        onward = onward.groupBy("key").agg(F.collect_set(F.struct("at", F.col("more").alias("skip"))).alias("places"))
+        now, width = held.drop("places").join(onward, "key").select("id", "key", "text", "places"), width * GROWTH
+    every = spans[0]
     for more in spans[1:]:
-        both = both.unionByName(more)
-    own = W.partitionBy("key", "id").orderBy("first_word", "end_word")
+        every = every.unionByName(more)
+    every = every.groupBy("id", "key", "first_word", "end_word").agg(F.max("copies").alias("copies"), F.min("original").alias("original"))
+    own = W.partitionBy("key", "id").orderBy("first_word", F.desc("end_word"))
     reach = F.max("end_word").over(own.rowsBetween(W.unboundedPreceding, -1))
-    new = both.withColumn("new", F.coalesce((F.col("first_word") >= reach), F.lit(True)).cast("int"))
-    merged = new.withColumn("island", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, 0))).groupBy("key", "id", "island")
-    spans_of = merged.agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.max("copies").alias("copies"), F.min("original").alias("original_doc_id"))
-    return spans_of.select(F.col("id").alias("doc_id"), "first_word", "end_word", "copies", "original_doc_id")
+    longest = every.withColumn("reach", reach).filter("reach is null or end_word > reach").drop("reach")
+    return _counted_in_runs(longest, held, min_words, kind).select(F.col("id").alias("doc_id"), "first_word", "end_word", "copies", F.col("original").alias("original_doc_id"))
