@@ -36,6 +36,25 @@ def hard_wrap(text: Column, limit: int = LIMIT) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(piece), F.lit(1)), strip)
 
 
+def chunked(text: Column, limit: int = LIMIT) -> Column:
+    """Paragraphs, the long ones packed from their sentences and pieces of over-long sentences; one piece, maybe empty, where there is none."""
+    none = F.array().cast("array<string>")
+
+    def closed(state: Column) -> Column:
+        return F.when(state["open"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+
+    def add(state: Column, s: Column) -> Column:
+        joined = F.concat(state["open"], F.lit(" "), s)
+        long, fits = F.length(s) > limit, F.coalesce(F.length(joined) <= limit, F.lit(False))
+        done = F.when(long, F.concat(closed(state), hard_wrap(s, limit))).when(fits, state["done"]).otherwise(closed(state))
+        return F.struct(done.alias("done"), F.when(~long, F.when(fits, joined).otherwise(s)).alias("open"))
+
+    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("open"))
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n", -1), strip), lambda p: p != "")
+    found = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= limit, F.array(p)).otherwise(F.aggregate(sentences(p), start, add, closed))))
+    return F.when(F.size(found) > 0, found).when(text.isNotNull(), F.array(strip(F.left(text, F.lit(limit)))))
+
+
 def wrap(text: str, limit: int) -> list[str]:
     found = []
     while len(text) > limit:
@@ -153,8 +172,3 @@ def passage(body: pa.Array, query: pa.Array) -> pa.Array:
 @F.arrow_udf(ArrayType(StringType()))
 def text_windows(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else windows(t) for t in text.to_pylist()], pa.list_(pa.string()))
-
-
-@F.arrow_udf(ArrayType(StringType()))
-def text_chunks(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else chunks(t) for t in text.to_pylist()], pa.list_(pa.string()))

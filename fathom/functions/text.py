@@ -27,8 +27,8 @@ shelter: refugio; water: agua; wounds: cut
 """
 #: Query token -> the tokens that it also searches for.
 ALIASES = {word: goal.split() for part in _ALIASES.replace("\n", ";").split(";") if ":" in part for goal, words in [part.split(":")] for word in words.split()}
-FOLLOW_UP_STARTS = ("should i", "can i", "next ", "then ", "how about", "what should", "what if", "what about", "also ", "and ")
-FOLLOW_UP_WORDS = frozenset("without with that this there then outside now night indoors inside before after again".split())
+FOLLOW_UP_STARTS = ("also ", "and ", "can i", "how about", "next ", "should i", "then ", "what about", "what if", "what should")
+FOLLOW_UP_WORDS = frozenset("night now then this that there inside outside indoors again before after with without".split())
 #: White space as Python sees it.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -62,10 +62,11 @@ def _tables() -> tuple[str, str, dict[str, str]]:
 def fold(text: Column) -> Column:
     """Compatibility-decomposed, without accents, casefolded."""
     source, target, several = _tables()
-    goals = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    # One literal, which the optimizer turns into a map once; literals one by one would take seconds to send.
+    goals = F.str_to_map(F.lit("\x02".join(f"{c}\x01{goal}" for c, goal in several.items())), F.lit("\x02"), F.lit("\x01"))
     # Which of a text's distinct non-ASCII characters need more than one; the regex stays a single range.
     foreign = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7f]"), F.lit(0)))
-    wide = F.array_intersect(foreign, F.array(*map(F.lit, several)))
+    wide = F.array_intersect(foreign, F.map_keys(goals))
     opened = F.aggregate(wide, text, lambda t, c: F.replace(t, c, goals[c]))
     return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(opened, source, target)).otherwise(F.lower(text))
 
@@ -99,9 +100,9 @@ def singular(token: Column) -> Column:
 
 def expand(found: Column) -> Column:
     """Each token, its singular and its aliases, each once, in order of first appearance."""
-    none = F.array().cast("array<string>")
-    aliases = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.array_distinct(F.flatten(F.transform(found, lambda t: F.concat(F.array_compact(F.array(t, singular(t))), F.coalesce(aliases[t], none)))))
+    goals = F.str_to_map(F.lit(";".join(f"{k}:{' '.join(v)}" for k, v in ALIASES.items())), F.lit(";"), F.lit(":"))
+    more = lambda t: F.concat_ws(" ", t, singular(t), goals[t])  # noqa: E731 - tokens hold no blanks, and nulls are left out
+    return F.array_distinct(F.flatten(F.transform(found, lambda t: F.split(more(t), " "))))
 
 
 def is_follow_up(query: Column) -> Column:
@@ -128,3 +129,16 @@ def count_matches(query_tokens: Column, document_tokens: Column) -> Column:
 
 def shown_tags(tags: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(tags, ", "), F.lit("")), F.lit("none"))
+
+
+def escape_html(text: Column) -> Column:
+    """Text that may stand in HTML, also within quotes."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def url_parameter(url: Column, name: str) -> Column:
+    """The first value of a query parameter, decoded and trimmed; '' where there is none or it can't be decoded."""
+    said = F.regexp_extract(F.regexp_replace(url, "(?s)#.*$", ""), rf"\?(?:[^&]*&)*?{name}=([^&]*)", 1)
+    return F.coalesce(F.trim(F.try_url_decode(said)), F.lit(""))

@@ -10,7 +10,7 @@ from fathom.operators.ngram import generate_from
 
 NOTICE = "Experimental offline research tool. Verify critical decisions with trusted human expertise whenever possible."
 REFUSAL = "I do not have enough confidence to answer this question from the current knowledge base."
-SYNTHESIS_NOTICE = "Generated by a small n-gram model from the passage below; read the passage itself before acting."
+SYNTHESIS_NOTICE = "Experimental synthesis. Generated only from the retrieved passage below; use the cited passage as the authority."
 #: In this order: the words that call for a pair of questions, and the questions.
 RULES = [
     ("carbon-monoxide|carbon monoxide|generator|gas|fuel", ["Do you smell gas or fuel, or does anyone feel dizzy, weak, nauseated, or confused?", "Can you move people to fresh air before doing anything else?"]),

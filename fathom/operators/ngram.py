@@ -24,6 +24,11 @@ def transitions(kb: DataFrame, order: int = 2) -> DataFrame:
     return rows.groupBy("prefix", "next").agg(F.count("*").alias("n"))
 
 
+def vocabulary(kb: DataFrame) -> DataFrame:
+    """(token): the distinct alphabetic tokens."""
+    return kb.select(F.explode(tokens(all_text())).alias("token")).filter(F.col("token").rlike("^[a-z]+$")).distinct()
+
+
 def model_summary(kb: DataFrame, order: int = 2) -> DataFrame:
     """One row: order, documents, tokens, distinct prefixes (transition_count) and distinct pairs."""
     totals = kb.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size(tokens(all_text()))), F.lit(0)).alias("token_count"))

@@ -39,6 +39,7 @@ def validate_pack(kb: DataFrame, manifest: dict | None) -> DataFrame:
         issues += [("error", f"manifest missing required field: {name}") for name in REQUIRED if manifest.get(name) in (None, "", [])]
     else:
         issues.append(("error", "missing manifest"))
+        languages = facts["languages"]  # a pack without a manifest has the languages of its documents
     if facts["languages"] and not languages:
         issues.append(("error", "manifest languages do not describe document languages"))
     issues += [("error", f"manifest languages missing document language: {name}") for name in facts["languages"] if name not in languages]

@@ -37,7 +37,7 @@ def corpus_stats(kb: DataFrame) -> DataFrame:
 
 
 def audit_index(kb: DataFrame) -> DataFrame:
-    """A row a document: its fields, the SHA-256 of its text, token_count and its terms with their counts, sorted."""
+    """A row a document: its fields, the SHA-256 of its whole source, token_count and its terms with their counts, sorted."""
     counts = term_frequency(kb).groupBy("path").agg(F.sum("n").alias("token_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "n")))).alias("terms"))
-    own = kb.select("path", "title", "language", "tags", "priority", F.sha2(F.encode(F.col("body"), "utf-8"), 256).alias("sha256"))
+    own = kb.select("path", "title", "language", "tags", "priority", "source_sha256")
     return own.join(counts, "path", "left").withColumns({"token_count": F.coalesce("token_count", F.lit(0)), "terms": F.coalesce("terms", F.create_map().cast("map<string,bigint>"))})

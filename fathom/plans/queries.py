@@ -1,17 +1,22 @@
 """Registered queries of the core operators over the driver's tables, and the same in DuckDB SQL.
 
 A document is a knowledge entry: its path comes from language and id, its title is the source, its tags are
-source and language, and its priority the quality label's. The benchmark's items are the queries.
+source and language, and its priority the quality label's; its file is a heading with the title, and the text.
+The benchmark's items are the queries. Texts that stand for files are given as (path, text) tables or written
+to the shared folder first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from fathom import web
 from fathom.functions import chunking, text
 from fathom.operators import answer, evaluate, ngram, packs, postings, rank
-from fathom.sources import pdf
+from fathom.plans.shared import new_path
+from fathom.sources import markdown, pdf
 from fathom.streaming.session import session_turns
 
 
@@ -20,7 +25,7 @@ def knowledge(spark: SparkSession, d: str) -> DataFrame:
     priority = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").otherwise("normal")
     return docs.join(labels, "doc_id", "left").select(
         F.concat("lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md")).alias("path"), F.col("source").alias("title"), F.col("text").alias("body"),
-        F.col("lang").alias("language"), F.array("source", "lang").alias("tags"), priority.alias("priority"),
+        F.col("lang").alias("language"), F.array("source", "lang").alias("tags"), priority.alias("priority"), F.sha2(F.encode(F.concat(F.lit("# "), "source", F.lit("\n\n"), "text"), "utf-8"), 256).alias("source_sha256"),
     )
 
 
@@ -48,7 +53,7 @@ def _tokens(c: str) -> str:
     return f"list_filter({_words(c)}, lambda w: length(w) > 1 AND w NOT IN ({_STOP}))"
 
 
-_KB = """kb AS (SELECT lang || '/' || lpad(d.doc_id::VARCHAR, 8, '0') || '.md' AS path, source AS title, text AS body, lang AS language, [source, lang] AS tags,
+_KB = """kb AS (SELECT lang || '/' || lpad(d.doc_id::VARCHAR, 8, '0') || '.md' AS path, source AS title, text AS body, lang AS language, [source, lang] AS tags, sha256('# ' || source || chr(10) || chr(10) || text) AS source_sha256,
   CASE quality WHEN 1 THEN 'high' WHEN 0 THEN 'low' ELSE 'normal' END AS priority FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 _FULL = "title || ' ' || array_to_string(tags, ' ') || ' ' || body"
 _TF = f"{_KB}, tf AS (SELECT path, token, count(*) AS n FROM (SELECT path, unnest({_tokens(_FULL)}) AS token FROM kb) GROUP BY ALL)"
@@ -159,7 +164,7 @@ def corpus_stats(spark, d):
     return postings.corpus_stats(knowledge(spark, d))
 
 
-@query("audit_index", f"WITH {_TF}, t AS (SELECT path, sum(n)::BIGINT AS token_count, string_agg(token || '=' || n, ' ' ORDER BY token) AS terms FROM tf GROUP BY path) SELECT path, title, language, array_to_string(tags, ',') AS tags, priority, sha256(body) AS sha256, coalesce(token_count, 0) AS token_count, coalesce(terms, '') AS terms FROM kb LEFT JOIN t USING (path)")
+@query("audit_index", f"WITH {_TF}, t AS (SELECT path, sum(n)::BIGINT AS token_count, string_agg(token || '=' || n, ' ' ORDER BY token) AS terms FROM tf GROUP BY path) SELECT path, title, language, array_to_string(tags, ',') AS tags, priority, source_sha256, coalesce(token_count, 0) AS token_count, coalesce(terms, '') AS terms FROM kb LEFT JOIN t USING (path)")
 def audit_index(spark, d):
     shown = F.array_join(F.transform(F.map_entries("terms"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
     return postings.audit_index(knowledge(spark, d)).withColumns({"terms": shown, "tags": F.array_join("tags", ",")})
@@ -185,27 +190,99 @@ def sentence_split(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(chunking.sentences(F.col("text")), "\x02").alias("sentences"))
 
 
-@query("hard_wrap")
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def _wrapped(source: str) -> str:
+    """CTE wrapped(id, k, piece): the pieces of source(id, rest), which is trimmed."""
+    cut = "CASE WHEN length(rest) <= 700 THEN length(rest) WHEN contains(substr(rest, 2, 699), ' ') THEN 700 - position(' ' IN reverse(substr(rest, 1, 700))) ELSE 700 END"
+    return f"""steps(id, k, piece, rest) AS (SELECT id, 0, NULL::VARCHAR, rest FROM {source} UNION ALL
+      SELECT id, k + 1, trim(substr(rest, 1, {cut}), {_BLANK}), trim(substr(rest, {cut} + 1), {_BLANK}) FROM steps WHERE rest <> ''), wrapped AS (SELECT id, k, piece FROM steps WHERE k > 0)"""
+
+
+@query("hard_wrap", f"WITH RECURSIVE src AS (SELECT doc_id AS id, trim(text, {_BLANK}) AS rest FROM documents), {_wrapped('src')} SELECT d.doc_id, coalesce(string_agg(piece, chr(2) ORDER BY k), '') AS pieces FROM documents d LEFT JOIN wrapped w ON w.id = d.doc_id GROUP BY d.doc_id")
 def hard_wrap(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", chunking.hard_wrap(chunking.strip(F.col("text"))).alias("pieces"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(chunking.hard_wrap(chunking.strip(F.col("text"))), "\x02").alias("pieces"))
 
 
-@query("chunks")
-def chunks(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", chunking.text_chunks("text").alias("chunks"))
+_PARTS = f"paras AS (SELECT id, p, trim(t, {_BLANK}) AS t FROM (SELECT id, unnest(string_split(body, chr(10) || chr(10))) AS t, generate_subscripts(string_split(body, chr(10) || chr(10)), 1) AS p FROM bodies) WHERE trim(t, {_BLANK}) <> '')"
+_CUT = rf"list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {_BLANK})), lambda x: x <> '')"
+_CHUNKS = f"""WITH RECURSIVE bodies AS (SELECT doc_id AS id, text AS body FROM documents), {_PARTS},
+  own AS (SELECT id, p, s, u FROM (SELECT id, p, unnest({_CUT}) AS u, generate_subscripts({_CUT}, 1) AS s FROM paras WHERE length(t) > 700)),
+  src AS (SELECT {{'a': id, 'b': p, 'c': s}} AS id, u AS rest FROM own WHERE length(u) > 700), {_wrapped('src')},
+  units AS (SELECT id, p, s, 0 AS k, u, false AS closed FROM own WHERE length(u) <= 700 UNION ALL SELECT id.a, id.b, id.c, k, piece, true FROM wrapped),
+  rows AS (SELECT id, p, list(chr(3) || CASE WHEN closed THEN chr(4) ELSE '' END || u ORDER BY s, k) AS l FROM units GROUP BY id, p),
+  packed AS (SELECT id, p, list_reduce(l, lambda a, x: CASE WHEN x[2] = chr(4) OR string_split(a, chr(3))[-1][1] = chr(4) OR length(string_split(a, chr(3))[-1]) + length(x) > 700 THEN a || x ELSE a || ' ' || x[2:] END) AS t FROM rows),
+  every AS (SELECT id, p, replace(replace(t[2:], chr(4), ''), chr(3), chr(2)) AS t FROM packed UNION ALL SELECT id, p, t FROM paras WHERE length(t) <= 700)
+SELECT d.doc_id, coalesce(string_agg(t, chr(2) ORDER BY p), '') AS chunks FROM documents d LEFT JOIN every b ON b.id = d.doc_id GROUP BY d.doc_id"""
 
 
-@query("best_passage")
+@query("chunks", _CHUNKS)
+def chunks(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(chunking.chunked(F.col("text")), "\x02").alias("chunks"))
+
+
+#: CTEs after best: the best window of every result.
+_PASSAGE = rf"""bodies AS (SELECT DISTINCT path AS id, body FROM best JOIN own USING (path)), {_PARTS},
+  lines AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, {_BLANK})), lambda x: x <> '') AS l FROM paras),
+  units AS (SELECT id, p, CASE WHEN len(l) > 1 AND len(list_filter(l, lambda x: regexp_matches(x, '^\s*(\d+[.)]|[-*])\s+'))) > 0 THEN list_transform(l, lambda x: trim(regexp_replace(x, '^\s*(\d+[.)]|[-*])\s+', ''), {_BLANK})) ELSE {_CUT} END AS u FROM lines),
+  grown(id, p, u, c, a, b, was) AS (SELECT id, p, u, c, c, c, -1::BIGINT FROM (SELECT id, p, u, unnest(range(1, len(u) + 1)) AS c FROM units) UNION ALL
+    SELECT id, p, u, c, CASE WHEN a > 1 AND length(array_to_string(u[a - 1 : b2], ' ')) <= 700 THEN a - 1 ELSE a END, b2, b - a FROM (SELECT *, CASE WHEN b < len(u) AND length(array_to_string(u[a : b + 1], ' ')) <= 700 THEN b + 1 ELSE b END AS b2 FROM grown WHERE b - a > was)),
+  spans AS (SELECT id, p, c, trim(array_to_string(u[a : b], ' '), {_BLANK}) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id, p, c ORDER BY b - a DESC) AS n FROM grown) WHERE n = 1),
+  src AS (SELECT DISTINCT w AS id, w AS rest FROM spans WHERE length(w) > 700), {_wrapped('src')},
+  shown AS (SELECT s.id, p, c, coalesce(x.piece, w) AS w FROM spans s LEFT JOIN wrapped x ON x.id = s.w AND x.k = 1 WHERE w <> ''),
+  wanted AS (SELECT qid, list(token) AS want FROM terms GROUP BY qid),
+  judged AS (SELECT best.qid, best.path, p, c, w, want, {_tokens('w')} AS have, contains(replace(lower(w), 'ß', 'ss'), replace(lower(q.text), 'ß', 'ss')) AS phrase
+    FROM best JOIN shown ON shown.id = best.path JOIN benchmark q ON q.item_id = best.qid LEFT JOIN wanted USING (qid)),
+  worth AS (SELECT *, len(list_filter(list_distinct(have), lambda x: list_contains(want, x))) AS same FROM judged),
+  passages AS (SELECT qid, path, w AS passage FROM worth QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY CASE WHEN len(have) = 0 THEN 0 ELSE 4.0::DOUBLE * same + len(list_filter(have, lambda x: list_contains(want, x))) + same::DOUBLE / len(list_distinct(have)) + phrase::INT END DESC, length(w), p, c) = 1),
+  results AS (SELECT b.qid, b.rank, b.path, b.score, {_grade('lexical')} AS confidence, coalesce(x.passage, '') AS passage, o.title, o.body, o.language, o.tags,
+    (SELECT coalesce(string_agg(token, ' ' ORDER BY token), '') FROM terms t WHERE t.qid = b.qid AND list_contains(tt || gt || bt, token)) AS matched FROM best b JOIN own o USING (path) LEFT JOIN passages x USING (qid, path))"""
+
+
+@query("best_passage", f"WITH RECURSIVE {_scored('lexical')}, {_PASSAGE} SELECT qid, rank::INT AS rank, path, passage FROM results")
 def best_passage(spark, d):
     return _results(spark, d).select("qid", "rank", "path", "passage")
 
 
-@query("answers")
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_FIRST = "accepted AS (SELECT * FROM results WHERE confidence <> 'LOW' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1)"
+_TEXT = "replace(lower(title || ' ' || path || ' ' || body || ' ' || array_to_string(tags, ' ') || ' ' || passage || ' ' || matched), 'ß', 'ss')"
+_RULE = "CASE " + " ".join(f"WHEN regexp_matches({_TEXT}, '{w}') THEN {_quoted(q[0])} || chr(10) || '- ' || {_quoted(q[1])}" for w, q in answer.RULES) + f" ELSE {_quoted(answer.GENERAL[0])} || chr(10) || '- ' || {_quoted(answer.GENERAL[1])} END"
+_LF = " || chr(10) || "
+_HEAD = "'[' || confidence || ' CONFIDENCE]'"
+_CITED = f"'Title: ' || title{_LF}'Source: ' || path{_LF}'Language: ' || language{_LF}'Tags: ' || array_to_string(tags, ', ')"
+
+
+def _answers_sql(said: str, more: str = "") -> str:
+    refused = f"'{answer.REFUSAL}'{_LF}chr(10) || '{answer.NOTICE}'"
+    return f"WITH RECURSIVE {_scored('lexical')}, {_PASSAGE}, {_FIRST}{more}, final AS (SELECT qid, path, {said} AS said FROM accepted a) SELECT q.item_id AS qid, said IS NOT NULL AS accepted, path, coalesce(said, {refused}) AS answer FROM benchmark q LEFT JOIN final ON final.qid = q.item_id"
+
+
+@query("answers", _answers_sql(f"{_HEAD}{_LF}chr(10) || {_CITED}{_LF}chr(10) || 'Passage:'{_LF}passage{_LF}chr(10) || '{answer.NOTICE}'{_LF}chr(10) || 'Follow-up checks:'{_LF}'- ' || {_RULE}"))
 def answers(spark, d):
     return answer.answers(asked(spark, d), _results(spark, d))
 
 
-@query("synthesis")
+def _walked(source: str) -> str:
+    """CTE walked(id, note): the n-gram walk of source(id, text, seed)."""
+    letters = f"list_filter({_tokens('text')}, lambda w: regexp_matches(w, '^[a-z]+$'))"
+    return f"""given AS (SELECT id, {letters} AS w, {_tokens('seed')} AS s FROM {source}),
+  grams AS (SELECT id, w[i] AS x, w[i + 1] AS y, arg_min(w[i + 2], i) AS next, min(i) AS i FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM given WHERE len(w) > 2) GROUP BY ALL),
+  seeds AS (SELECT id, list_filter(s, lambda t: list_contains(w, t)) AS s FROM given),
+  opening AS (SELECT id, coalesce(max(CASE WHEN s[-2] = x AND s[-1] = y THEN [x, y] END), arg_min([x, y], i) FILTER (list_has_any(s, [x, y])), min([x, y])) AS o FROM grams JOIN seeds USING (id) GROUP BY id),
+  walk(id, words, seen, n) AS (SELECT id, o, []::VARCHAR[], 0 FROM opening UNION ALL
+    SELECT k.id, list_append(words, next), list_append(seen, x || ' ' || y), n + 1 FROM walk k JOIN grams g ON g.id = k.id AND g.x = words[-2] AND g.y = words[-1] WHERE len(words) < {ngram.LONGEST_NOTE} AND NOT list_contains(seen, x || ' ' || y)),
+  walked AS (SELECT id, arg_max(array_to_string(words, ' '), n) AS note FROM walk GROUP BY id)"""
+
+
+_NOTED = "coalesce((SELECT note FROM walked WHERE walked.id = a.qid), passage)"
+
+
+@query("synthesis", _answers_sql(f"{_HEAD}{_LF}chr(10) || '{answer.SYNTHESIS_NOTICE}'{_LF}chr(10) || 'Generated note:'{_LF}{_NOTED}{_LF}chr(10) || 'Citation:'{_LF}{_CITED}{_LF}chr(10) || 'Retrieved passage:'{_LF}passage{_LF}chr(10) || '{answer.NOTICE}'", f", asks AS (SELECT qid AS id, passage AS text, q.text AS seed FROM accepted JOIN benchmark q ON q.item_id = qid), {_walked('asks')}"))
 def synthesis(spark, d):
     return answer.answers(asked(spark, d), _results(spark, d), triage=False, synthesis=True)
 
@@ -246,7 +323,7 @@ def model_summary(spark, d):
     return ngram.model_summary(knowledge(spark, d))
 
 
-@query("ngram_generate")
+@query("ngram_generate", f"WITH RECURSIVE asks AS (SELECT item_id AS id, text, text AS seed FROM benchmark), {_walked('asks')} SELECT item_id AS qid, coalesce(note, '') AS note FROM benchmark LEFT JOIN walked ON walked.id = item_id")
 def ngram_generate(spark, d):
     return asked(spark, d).select("qid", ngram.generate_from(F.col("query"), F.col("query")).alias("note"))
 
@@ -263,14 +340,161 @@ def follow_up_flags(spark, d):
 @query("session_turns")
 def session(spark, d):
     kb = knowledge(spark, d)
-    return session_turns(turns(spark, d), lambda q: rank.search(q, kb, "lexical"))[0]
+    stored = rank.postings(kb)
+    return session_turns(turns(spark, d), lambda q: rank.search(q, kb, "lexical", stored=stored))[0]
 
 
-@query("important_points")
+_VERB = rf"regexp_matches(s, '(?i)\b({pdf.VERBS})\b')"
+_SCORE = f"(CASE WHEN {_VERB} THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(s), 'warning|danger|urgent') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(s), 'do not|never|avoid') THEN 2 ELSE 0 END + CASE WHEN length(s) BETWEEN 40 AND 240 THEN 1 ELSE 0 END)"
+
+
+def _points(source: str) -> str:
+    """CTE points(path, rank, sentence, score) of source(path, text)."""
+    cut = _CUT.replace("regexp_replace(t,", "regexp_replace(said,")
+    return f"""said AS (SELECT path, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM {source}),
+  each AS (SELECT path, line, unnest({cut}) AS s, generate_subscripts({cut}, 1) AS k FROM said),
+  good AS (SELECT path, line, k, s, {_SCORE} AS score FROM each WHERE length(s) >= 25 QUALIFY row_number() OVER (PARTITION BY path, replace(lower(s), 'ß', 'ss') ORDER BY {_SCORE} DESC, line, k) = 1),
+  points AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY score DESC, line, k)::INT AS rank, s AS sentence, score::INT AS score FROM good WHERE score > 0 QUALIFY rank <= 8)"""
+
+
+@query("important_points", f"WITH {_KB}, src AS (SELECT path, body AS text FROM kb), {_points('src')} SELECT * FROM points")
 def important_points(spark, d):
     return pdf.important_points(knowledge(spark, d).select("path", F.col("body").alias("text")))
 
 
+_PAGES = rf"""lines AS (SELECT path, i, trim(regexp_replace(l, '[ \t]+', ' ', 'g'), {_BLANK}) AS l FROM (SELECT path, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM kb)),
+  pages AS (SELECT path, ((i - 1) // 20)::INT + 1 AS page, string_agg(l, chr(10) ORDER BY i) AS text, string_agg(CASE WHEN regexp_full_match(l, '[A-Z][A-Za-z0-9 ,:/()''-]{{3,80}}') THEN '### ' ELSE '' END || l, chr(10) ORDER BY i) AS shown FROM lines WHERE l <> '' GROUP BY path, (i - 1) // 20)"""
+
+
+@query("pdf_markdown", rf"""WITH {_KB}, {_PAGES}, whole AS (SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, string_agg('### Page ' || page || chr(10) || chr(10) || shown, chr(10) || chr(10) ORDER BY page) AS body, count(*) AS n FROM pages GROUP BY path),
+  {_points('whole')}, best AS (SELECT path, string_agg('- ' || sentence, chr(10) ORDER BY rank) AS p FROM points GROUP BY path),
+  titles AS (SELECT path, arg_min(l, i) AS title FROM lines WHERE length(l) BETWEEN 4 AND 100 GROUP BY path)
+SELECT path, '---' || chr(10) || 'title: ' || coalesce(t.title, replace(regexp_extract(path, '([^/]+)\.md$', 1), '-', ' ')) || chr(10) || 'language: unknown' || chr(10) || 'tags:' || chr(10) || '  - imported' || chr(10) || 'priority: normal' || chr(10) || 'source_type: pdf' || chr(10) || 'source_file: '
+  || regexp_extract(path, '([^/]*)$', 1) || chr(10) || 'source_sha256: ' || source_sha256 || chr(10) || 'pages: ' || n || chr(10) || '---' || chr(10) || chr(10) || '## Important Points' || chr(10) || chr(10) || coalesce(p, '- No high-signal summary points were detected.') || chr(10) || chr(10) || '## Extracted Text' || chr(10) || chr(10) || w.body || chr(10) AS markdown
+FROM whole w JOIN kb USING (path) LEFT JOIN best USING (path) LEFT JOIN titles t USING (path)""")
+def pdf_markdown(spark, d):
+    """Twenty lines of a text stand for a PDF's page."""
+    lines = knowledge(spark, d).select("path", "source_sha256", F.posexplode(F.split("body", "\n")).alias("i", "line"))
+    page = (F.floor(F.col("i") / 20).cast("int") + 1).alias("page")
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+    pages = lines.groupBy("path", "source_sha256", page).agg(text_of.alias("text"))
+    return pdf.document_to_markdown(pages.withColumn("text", pdf.clean_text(F.col("text"))).filter("text <> ''"))
+
+
+_FRONT = "'---' || chr(10) || '# a comment' || chr(10) || 'title: ' || source || chr(10) || 'language: ' || lang || chr(10) || 'tags:' || chr(10) || '  - ' || source || chr(10) || '- ' || lang || chr(10) || 'priority: high' || chr(10) || '---' || chr(10) || text"
+_WHOLE = f"CASE doc_id % 3 WHEN 0 THEN {_FRONT} WHEN 1 THEN '## ' || source || chr(10) || text ELSE text END"
+_READ = f"""md AS (SELECT *, {_WHOLE} AS file FROM documents), read AS (SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN source ELSE 'Doc ' || doc_id END AS title,
+  sha256(trim(CASE WHEN doc_id % 3 = 0 THEN text ELSE file END, {_BLANK})) AS body_sha, sha256(file) AS source_sha256, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'unknown' END AS language, CASE WHEN doc_id % 3 = 0 THEN source || ',' || lang ELSE '' END AS tags, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'normal' END AS priority FROM md)"""
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, text): every third document with front matter, every third with a heading."""
+    front = F.concat(F.lit("---\n# a comment\ntitle: "), "source", F.lit("\nlanguage: "), "lang", F.lit("\ntags:\n  - "), "source", F.lit("\n- "), "lang", F.lit("\npriority: high\n---\n"), "text")
+    kind = F.col("doc_id") % 3
+    whole = F.when(kind == 0, front).when(kind == 1, F.concat(F.lit("## "), "source", F.lit("\n"), "text")).otherwise(F.col("text"))
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("kb/doc_"), "doc_id", F.lit(".md")).alias("path"), whole.alias("text"))
+
+
+def _read_back(kb: DataFrame) -> DataFrame:
+    sha = F.sha2(F.encode("body", "utf-8"), 256).alias("body_sha")
+    return kb.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("doc_id"), "title", sha, "source_sha256", "language", F.array_join("tags", ",").alias("tags"), "priority")
+
+
+@query("front_matter", f"WITH {_READ} SELECT * FROM read")
+def front_matter(spark, d):
+    return _read_back(markdown.documents_of(_files(spark, d)))
+
+
+@query("zip_scan", f"WITH {_READ} SELECT * FROM read")
+def zip_scan(spark, d):
+    """Packs of up to 500 entries, written to the shared folder and read again."""
+    folder = new_path(spark, "packs")
+    markdown.write_packs(_files(spark, d), folder, 500)
+    return _read_back(markdown.read_packs(spark, folder))
+
+
+@query("folder_scan", f"SELECT item_id, 'Item ' || item_id AS title, CASE item_id % 3 WHEN 0 THEN '.hidden/item_' WHEN 1 THEN 'deep/er/_item_' ELSE 'item_' END || item_id || '.md' AS path, sha256(trim(text, {_BLANK})) AS body_sha FROM benchmark")
+def folder_scan(spark, d):
+    """The benchmark's items as files in nested folders, some hidden, written to the shared folder and read again."""
+    folder = new_path(spark, "files")
+    part = F.when(F.col("qid") % 3 == 0, ".hidden/item_").when(F.col("qid") % 3 == 1, "deep/er/_item_").otherwise("item_")
+    markdown.write_files(asked(spark, d).select(F.concat(part, "qid", F.lit(".md")).alias("path"), F.col("query").alias("text")), folder)
+    kb = markdown.read_folder(spark, folder)
+    return kb.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("item_id"), F.trim("title").alias("title"), "path", F.sha2(F.encode("body", "utf-8"), 256).alias("body_sha"))
+
+
+@query("eval_cases", "SELECT text AS query, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'src0' END AS expected_tag, CASE WHEN item_id % 3 = 0 THEN 'scenario' ELSE 'standard' END AS difficulty, CASE WHEN item_id % 2 = 0 THEN 'en' END AS expected_language FROM benchmark")
+def eval_cases(spark, d):
+    """The benchmark as a file of JSON lines, some without difficulty or language."""
+    path, even = new_path(spark, "cases"), F.col("qid") % 2 == 0
+    asked(spark, d).select("query", F.when(even, "en").otherwise("src0").alias("expected_tag"), F.when(F.col("qid") % 3 == 0, "scenario").alias("difficulty"), F.when(even, "en").alias("expected_language")).write.json(path)
+    return markdown.read_cases(spark, path)
+
+
+@query("index_counts", f"WITH {_TF} SELECT (SELECT count(*) FROM kb) AS document_count, count(DISTINCT token) AS term_count, sum(n)::BIGINT AS token_count FROM tf")
+def index_counts(spark, d):
+    """The counts of the index file."""
+    rows = postings.audit_index(knowledge(spark, d)).select("token_count", F.map_keys("terms").alias("t"))
+    terms = rows.select(F.explode("t").alias("t")).agg(F.countDistinct("t").alias("term_count"))
+    counts = rows.agg(F.count("*").alias("document_count"), F.sum("token_count").alias("token_count"))
+    return counts.withColumn("one", F.lit(1)).join(terms.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("top_languages", f"WITH {_scored('bm25')}, first AS (SELECT item_id, (SELECT o.language FROM best b JOIN own o USING (path) WHERE b.qid = item_id AND rank = 1) AS l FROM benchmark) SELECT coalesce(l, 'NONE') AS top_language, count(*) AS cases FROM first GROUP BY ALL")
+def top_languages(spark, d):
+    return evaluate.top_languages(evaluate.case_results(*_cases(spark, d)))
+
+
+@query("recent_turns", "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
+def recent_turns(spark, d):
+    return web.last_turns(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+def _escaped(c: str) -> str:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{plain}', '{entity}')"
+    return c
+
+
+@query("history_html", f"WITH t AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, string_agg('<section><h2>' || {_escaped('role')} || '</h2><pre>' || {_escaped('text')} || '</pre></section>', chr(10) ORDER BY turn) AS html FROM t GROUP BY conv_id")
+def history_html(spark, d):
+    return web.history_html(spark.read.parquet(f"{d}/conversations.parquet"), F.col("role"), F.col("text"))
+
+
+@query("escaped_pages", f"SELECT page_id, {_escaped('html')} AS html FROM pages")
+def escaped_pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.escape_html(F.col("html")).alias("html"))
+
+
+@query("url_parameters", "SELECT page_id, trim(url_decode(regexp_extract(regexp_replace(url, '#.*$', ''), '[?&]page=([^&]*)', 1))) AS page, regexp_extract(regexp_replace(url, '#.*$', ''), '[?&]ref=([^&]*)', 1) = 'x' AS cleared FROM pages")
+def url_parameters(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", text.url_parameter(F.col("url"), "page").alias("page"), (text.url_parameter(F.col("url"), "ref") == "x").alias("cleared"))
+
+
+@query("listed_in_language", f"WITH {_KB} SELECT path, title, priority FROM kb WHERE lower(language) = 'en'")
+def listed_in_language(spark, d):
+    return packs.list_knowledge(knowledge(spark, d), "EN").select("path", "title", "priority")
+
+
+@query("counted_matches", f"WITH q AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations) SELECT conv_id, turn, len(list_filter({_tokens('text')}, lambda x: list_contains({_tokens('reply')}, x)))::INT AS matches FROM q WHERE reply IS NOT NULL")
+def counted_matches(spark, d):
+    """Of each turn's tokens, repeated ones too, how many the next turn has."""
+    following = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    said = spark.read.parquet(f"{d}/conversations.parquet").withColumn("reply", following).filter("reply is not null")
+    return said.select("conv_id", "turn", text.count_matches(text.tokens(F.col("text")), text.tokens(F.col("reply"))).alias("matches"))
+
+
+@query("pdf_title", f"WITH {_KB}, l AS (SELECT path, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM kb) SELECT path, arg_min(trim(l, {_BLANK}), i) AS title FROM l WHERE length(trim(l, {_BLANK})) BETWEEN 4 AND 100 GROUP BY path")
+def pdf_title(spark, d):
+    return knowledge(spark, d).select("path", pdf.first_title(F.col("body")).alias("title")).filter("title is not null")
+
+
+@query("vocabulary", f"WITH {_KB}, t AS (SELECT DISTINCT unnest({_tokens(_FULL)}) AS token FROM kb) SELECT token FROM t WHERE regexp_matches(token, '^[a-z]+$')")
+def vocabulary(spark, d):
+    return ngram.vocabulary(knowledge(spark, d))
+
+
 @query("list_knowledge", f"WITH {_KB} SELECT path, title, language, array_to_string(tags, ', ') AS tags, priority FROM kb")
 def list_knowledge(spark, d):
     return packs.list_knowledge(knowledge(spark, d)).withColumn("tags", text.shown_tags(F.col("tags")))
@@ -279,3 +503,8 @@ def list_knowledge(spark, d):
 @query("validate_pack", "SELECT 'error' AS severity, 'manifest missing required field: license' AS message UNION ALL SELECT 'error', 'manifest languages missing document language: ' || lang FROM (SELECT DISTINCT lang FROM documents WHERE lang NOT IN ('en', 'unknown'))")
 def validate_pack(spark, d):
     return packs.validate_pack(knowledge(spark, d), {"name": "tables", "version": "1", "languages": ["en"], "source": "driver"})
+
+
+@query("validate_without_manifest", "SELECT 'error' AS severity, 'missing manifest' AS message")
+def validate_without_manifest(spark, d):
+    return packs.validate_pack(knowledge(spark, d), {})

@@ -5,6 +5,7 @@ A knowledge table has path, title, body, source_sha256, language, tags, priority
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -18,18 +19,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from fathom.functions.chunking import strip
-from fathom.functions.text import casefold, title_case
+from fathom.functions.text import title_case
 
 MANIFEST = "pack.json"
 CASE = "query string, expected_tag string, difficulty string, expected_language string"
+#: Where a line ends, as Python sees it.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _LIST = ArrayType(StringType())
 FRONT = StructType([StructField("meta", MapType(StringType(), _LIST)), StructField("listed", _LIST), StructField("body", StringType())])
 
 
 def front_matter(text: str) -> dict:
     """meta: key -> values (one for a scalar), listed: keys written as lists, body: the rest, stripped."""
-    lines = text.split("\n")
-    if lines[0].strip() != "---":
+    lines = text.splitlines()
+    if not lines or lines[0].strip() != "---":
         return {"meta": {}, "listed": [], "body": text.strip()}
     end = next((k for k, line in enumerate(lines[1:], 1) if line.strip() == "---"), None)
     if end is None:
@@ -64,7 +67,7 @@ def documents_of(texts: DataFrame) -> DataFrame:
     """The knowledge table of (path, text)."""
     rows = texts.withColumn("f", _split("text"))
     scalar = lambda k: F.when(~F.array_contains("f.listed", F.lit(k)), F.get(F.try_element_at("f.meta", F.lit(k)), F.lit(0)))
-    lines = F.transform(F.split("f.body", "\n"), strip)
+    lines = F.transform(F.split("f.body", LINE_END), strip)
     heading = F.get(F.filter(lines, lambda line: line.startswith("#")), F.lit(0))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/:]+)$", 1), r"(?<=.)\.[^.]*$", "")
     title = F.coalesce(scalar("title"), strip(F.regexp_replace(heading, "^#+", "")), title_case(F.regexp_replace(stem, "[_-]", " ")))
@@ -79,12 +82,27 @@ def _relative(path: Column, root: str) -> Column:
 
 
 def read_folder(spark: SparkSession, root: str) -> DataFrame:
-    """All .md files below root, in any depth. Names that start with a dot or underscore are skipped by Spark's listing."""
-    if not Path(root).exists() and "://" not in root:
-        return documents_of(spark.createDataFrame([], "path string, text string"))
+    """All .md files below root, in any depth.
+
+    Spark's listing leaves out names that start with a dot or underscore; in a folder that the driver can see
+    these are found by name and read where the rest is.
+    """
+    empty = spark.createDataFrame([], "path string, text string")
+    here = Path(root.removeprefix("file://"))
+    if not here.exists() and "://" not in root:
+        return documents_of(empty)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     text = F.regexp_replace(F.decode("content", "utf-8"), "\r\n?", "\n")
-    return documents_of(files.select(_relative(F.col("path"), root).alias("path"), text.alias("text")))
+    texts = files.select(_relative(F.col("path"), root.removeprefix("file://")).alias("path"), text.alias("text"))
+    hidden = [(str(p.relative_to(here)), str(p)) for p in sorted(here.rglob("*.md")) if p.is_file() and any(part[0] in "._" for part in p.relative_to(here).parts)] if here.is_dir() else []
+    if hidden:
+        texts = texts.unionByName(spark.createDataFrame(hidden, "path string, file string").mapInArrow(_opened, "path string, text string"))
+    return documents_of(texts)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([Path(f).read_text("utf-8") for f in batch.column(1).to_pylist()], pa.string())], ["path", "text"])
 
 
 def is_pack_entry(name: str) -> bool:
@@ -127,11 +145,11 @@ def read_manifest(source: str, name: str = MANIFEST) -> dict:
 def describe_pack(kb: DataFrame, source: str, name: str = MANIFEST) -> dict:
     """The manifest's fields with defaults; without one the languages that the documents declare."""
     manifest = read_manifest(source, name)
-    languages = manifest.get("languages", [])
+    languages = manifest.get("languages") or []
     if not manifest:
         languages = kb.filter("language <> 'unknown'").agg(F.array_sort(F.collect_set("language"))).first()[0]
     blank = {"name": Path(source).stem, "version": "unknown", "description": "", "license": "unknown", "source": "local"}
-    return {k: manifest.get(k, v) for k, v in blank.items()} | {"languages": [languages] if isinstance(languages, str) else list(languages), "path": source, "metadata": manifest}
+    return {k: str(manifest.get(k) or v) for k, v in blank.items()} | {"languages": [languages] if isinstance(languages, str) else [str(x) for x in languages] if isinstance(languages, list) else [], "path": source, "metadata": manifest}
 
 
 def export_pack(source: str, output: str, name: str = MANIFEST) -> str:
@@ -153,6 +171,41 @@ def export_pack(source: str, output: str, name: str = MANIFEST) -> str:
     return output
 
 
+def write_files(texts: DataFrame, root: str) -> None:
+    """(path, text) as files below a folder that driver and executors share."""
+    base = root.removeprefix("file://")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = Path(base, path)
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_text(said or "", "utf-8")
+            yield batch.slice(0, 0).select([0])
+
+    texts.select("path", "text").mapInArrow(write, "path string").count()
+
+
+def write_packs(texts: DataFrame, root: str, entries: int = 10_000) -> None:
+    """(path, text) as zip packs of up to so many entries, the same bytes each time, below a folder that driver and executors share."""
+    base = root.removeprefix("file://")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            Path(base).mkdir(parents=True, exist_ok=True)
+            for first in range(0, len(batch), entries):
+                rows = sorted(zip(*(c.slice(first, entries).to_pylist() for c in batch.columns)))
+                target = Path(base, f"{hashlib.sha256(rows[0][0].encode()).hexdigest()[:16]}.zip")
+                with zipfile.ZipFile(target, "w") as pack:
+                    for path, said in rows:
+                        info = zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0))
+                        info.compress_type = zipfile.ZIP_DEFLATED
+                        pack.writestr(info, said or "")
+            yield batch.slice(0, 0).select([0])
+
+    texts.select("path", "text").mapInArrow(write, "path string").count()
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from JSON lines; a missing file has none."""
     if not Path(path).exists() and "://" not in path:
@@ -166,5 +219,10 @@ def write_json(row: dict, path: str) -> None:
     Path(path).write_text(json.dumps(row, ensure_ascii=True, indent=2, sort_keys=True) + "\n", "utf-8")
 
 
-def same_language(language: str) -> Column:
-    return casefold(F.col("language")) == casefold(F.lit(language))
+def file_digest(path: str) -> str:
+    """SHA-256 of a file, read a megabyte at a time."""
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            digest.update(part)
+    return digest.hexdigest()

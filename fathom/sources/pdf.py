@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import io
 from collections.abc import Iterator
 
@@ -14,21 +15,33 @@ from pyspark.sql.window import Window as W
 from fathom.functions.chunking import sentences, strip
 from fathom.functions.text import casefold, title_case
 
-VERBS = "warning|wash|use|store|stop|should|separate|seek|rinse|never|move|mark|keep|evacuate|drink|do not|discard|cover|check|call|avoid"
+VERBS = "do not|never|avoid|stop|discard|move|evacuate|seek|call|check|keep|cover|store|separate|mark|rinse|wash|drink|use|should|warning"
 PAGE = "path string, source_sha256 string, page int, text string"
 
 
+def _reader():
+    for name in ("pypdf", "PyPDF2"):
+        try:
+            return importlib.import_module(name).PdfReader
+        except ImportError:
+            continue
+    return None
+
+
 def _pages(content: bytes) -> list[str]:
+    """The pages' texts by the first library that is here and finds any."""
+    reader = _reader()
+    found = [p.extract_text() or "" for p in reader(io.BytesIO(content)).pages] if reader else []
+    if any(t.strip() for t in found):
+        return found
     try:
-        from pypdf import PdfReader
-    except ImportError:
-        try:
-            import fitz
-        except ImportError as missing:
-            raise RuntimeError("reading PDF files needs pypdf or PyMuPDF") from missing
-        with fitz.open(stream=content, filetype="pdf") as found:
-            return [p.get_text() for p in found]
-    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+        fitz = importlib.import_module("fitz")
+    except ImportError as missing:
+        if reader is None:
+            raise RuntimeError("reading PDF files needs pypdf, PyPDF2 or PyMuPDF") from missing
+        return found
+    with fitz.open(stream=content, filetype="pdf") as opened:
+        return [p.get_text("text") or "" for p in opened]
 
 
 def read_pdf(spark: SparkSession, root: str) -> DataFrame:
@@ -73,12 +86,32 @@ def important_points(texts: DataFrame, limit: int = 8) -> DataFrame:
     return first.select("path", "b.line", "b.at", "b.sentence", "b.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limit, 1)).select("path", "rank", "sentence", "score")
 
 
+def first_title(text: Column) -> Column:
+    """The first line of 4 to 100 characters."""
+    return F.get(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x).between(4, 100)), F.lit(0))
+
+
 def to_markdown(pages: DataFrame) -> DataFrame:
     """(path, title, markdown) of each PDF."""
     lines = F.array_join(F.filter(F.transform(F.split("text", "\n"), markdown_line), lambda x: x != ""), "\n")
     sections = pages.select("path", "page", "text", F.concat(F.lit("### Page "), F.col("page"), F.lit("\n\n"), lines).alias("section"))
     join = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", c))), lambda x: x[c]), "\n\n")
     both = sections.groupBy("path").agg(join("section").alias("markdown"), join("text").alias("whole"))
-    line = F.get(F.filter(F.transform(F.split("whole", "\n"), strip), lambda x: F.length(x).between(4, 100)), F.lit(0))
     stem = F.regexp_replace(F.regexp_extract("path", "([^/]+?)(?:\\.[^./]*)?$", 1), "[_-]", " ")
-    return both.select("path", F.coalesce(line, title_case(stem)).alias("title"), "markdown")
+    return both.select("path", F.coalesce(first_title(F.col("whole")), title_case(stem)).alias("title"), "markdown")
+
+
+def document_to_markdown(pages: DataFrame, title: str | None = None, language: str = "unknown", tags: tuple[str, ...] = (), priority: str = "normal", points: int = 8) -> DataFrame:
+    """(path, markdown): each PDF as a knowledge document with front matter, its important points and its text."""
+    text = to_markdown(pages)
+    facts = pages.groupBy("path").agg(F.max("source_sha256").alias("sha"), F.count("*").alias("n"))
+    # Pages in order, so that points of equal score come in the order of the text.
+    join = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n")
+    best = important_points(pages.groupBy("path").agg(join.alias("text")), points)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: F.concat(F.lit("- "), x["sentence"])), "\n")
+    rows = text.join(facts, "path").join(best.groupBy("path").agg(lines.alias("points")), "path", "left")
+    head = [
+        F.lit("---\ntitle: "), F.lit(title) if title else F.col("title"), F.lit(f"\nlanguage: {language}\ntags:\n" + "\n".join(f"  - {t}" for t in tags or ("imported",)) + f"\npriority: {priority}\nsource_type: pdf\nsource_file: "),
+        F.regexp_extract("path", "([^/]*)$", 1), F.lit("\nsource_sha256: "), "sha", F.lit("\npages: "), F.col("n").cast("string"),
+    ]
+    return rows.select("path", F.concat(*head, F.lit("\n---\n\n## Important Points\n\n"), F.coalesce("points", F.lit("- No high-signal summary points were detected.")), F.lit("\n\n## Extracted Text\n\n"), "markdown", F.lit("\n")).alias("markdown"))
