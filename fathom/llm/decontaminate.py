@@ -16,7 +16,7 @@ Defined results: null or wordless texts and items match nothing; an item of fewe
 seed and matches nothing, and so does a passage that has no three words of the item in a row. Of
 overlapping passages of one document and item the best is taken, of equal ones the earliest; every
 disjoint one is a row. Rows of items with one item_id are items of their own; equal rows give equal
-matches once for each document row. Null ids are carried as nulls. Other columns are never read.
+matches once for each document row. Ids may be of any type and null. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.ragged import byte_chunks, chain, first_of_document, mix, ngram_starts, span_hashes, word_spans
-from fathom.llm.scratch import cut
+from fathom.llm.scratch import cut, small_batches
 
 N = 3
 THRESHOLD = 0.5
 MOST_BROADCAST = 4_000_000
-MATCH = "array<struct<item: int, score: double, first_word: int, end_word: int>>"
 _FILTER = 1 << 22
 #: Words of windows that are looked up at a time.
 MOST_WORDS = 1 << 20
@@ -182,33 +181,42 @@ def matches_of(word: np.ndarray, counts: np.ndarray, hit_text: np.ndarray, hit_w
 
 
 def matcher(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD):
-    """A column of MATCH for docs' texts (item is a row number), and the items' ids; the broadcast way."""
-    items = benchmark.select("item_id", "text").orderBy("item_id", "text").toArrow().to_pydict()
-    bench = Benchmark(items["text"], n)
-    held = docs.sparkSession.sparkContext.broadcast(vars(bench))  # plain arrays: workers need no import to read them
+    """A column of (item_id, score, first_word, end_word) lists for docs' texts; the broadcast way."""
+    small_batches(docs.sparkSession)
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).orderBy("item_id", "text").toArrow()
+    bench, ids = Benchmark(items.column("text").to_pylist(), n), items.column("item_id").combine_chunks()
+    held = docs.sparkSession.sparkContext.broadcast((vars(bench), ids))  # plain arrays: workers need no import to read them
 
-    @F.arrow_udf(MATCH)
+    @F.arrow_udf(f"array<struct<item_id: {_kind(benchmark, 'item_id')}, score: double, first_word: int, end_word: int>>")
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bench = Benchmark.__new__(Benchmark)
-        vars(bench).update(held.value)
-        rows = np.argsort(bench.gram, kind="stable")
-        seeds = Seeds(bench.gram[rows])
-        first = np.searchsorted(bench.gram[rows], seeds.hashes)
-        times = np.diff(np.r_[first, len(rows)])
-        kind = pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
+        vars(bench).update(held.value[0])
+        ids = held.value[1]
+        by_gram = np.argsort(bench.gram, kind="stable")
+        seeds = Seeds(bench.gram[by_gram])
+        first = np.searchsorted(bench.gram[by_gram], seeds.hashes)
+        times = np.diff(np.r_[first, len(by_gram)])
         for batch in batches:
             found: dict[int, list[dict]] = {}
             for i, _, word, counts, grams, at, doc in words_and_grams(batch, n):
                 where, which = seeds.find(grams)
                 if len(where):
                     many = times[which]
-                    row = rows[np.repeat(first[which] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                    row = by_gram[np.repeat(first[which] - np.cumsum(many) + many, many) + np.arange(many.sum())]
                     where = np.repeat(where, many)
                     hit = at[where] - first_of_document(counts)[doc[where]]
                     found |= {t + i: m for t, m in matches_of(word, counts, doc[where], hit, row, bench, threshold).items()}
-            yield pa.array([found.get(k, []) for k in range(len(batch))], kind)
+            rows = [m for k in range(len(batch)) for m in found.get(k, ())]
+            size = np.array([len(found.get(k, ())) for k in range(len(batch))], np.int64)
+            item = ids.take(pa.array([m["item"] for m in rows], pa.int64()))
+            fields = [pa.array([m[c] for m in rows], t) for c, t in (("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32()))]
+            yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.StructArray.from_arrays([item, *fields], ["item_id", "score", "first_word", "end_word"]))
 
-    return match(docs["text"]), items["item_id"]
+    return match(docs["text"].cast("string"))
+
+
+def _kind(table: DataFrame, column: str) -> str:
+    return table.schema[column].dataType.simpleString()
 
 
 def _by_joins(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -232,17 +240,19 @@ def _by_joins(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -
                     for _, _, share, start, end in passages(word, counts, zero, zero, diagonal, bench, threshold):
                         for k, v in zip(out, (r["id"], r["tag"], r["item_id"], share, start, end)):
                             out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
-
-    shape = "id long, tag long, gram long, word int"
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    own = cut(items.mapInArrow(grams, shape), "items")
+            types = [batch.schema.field("id").type, pa.int64(), batch.schema.field("item_id").type, pa.float64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+
+    small_batches(docs.sparkSession)
+    kind, item_kind = _kind(docs, "doc_id"), _kind(benchmark, "item_id")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    own = cut(items.mapInArrow(grams, f"id {item_kind}, tag long, gram long, word int"), "items")
     seeds = own.select(F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), "gram", F.col("word").alias("item_word"))
-    pairs = texts.mapInArrow(grams, shape).join(seeds, "gram").groupBy("id", "tag", "item_id", "item_tag").agg(F.collect_set(F.col("word") - F.col("item_word")).alias("diagonals"))
+    pairs = texts.mapInArrow(grams, f"id {kind}, tag long, gram long, word int").join(seeds, "gram").groupBy("id", "tag", "item_id", "item_tag").agg(F.collect_set(F.col("word") - F.col("item_word")).alias("diagonals"))
     p, t, q = pairs.alias("p"), texts.alias("t"), items.alias("q")
     with_text = p.join(t, F.col("p.id").eqNullSafe(F.col("t.id")) & (F.col("p.tag") == F.col("t.tag"))).join(q, F.col("p.item_id").eqNullSafe(F.col("q.id")) & (F.col("p.item_tag") == F.col("q.tag")))
-    return with_text.select("p.id", "p.tag", "p.item_id", "p.diagonals", "t.text", F.col("q.text").alias("item_text")).mapInArrow(scored, "doc_id long, tag long, item_id long, score double, first_word int, end_word int")
+    return with_text.select("p.id", "p.tag", "p.item_id", "p.diagonals", "t.text", F.col("q.text").alias("item_text")).mapInArrow(scored, f"doc_id {kind}, tag long, item_id {item_kind}, score double, first_word int, end_word int")
 
 
 def fits(benchmark: DataFrame, most: int = MOST_BROADCAST) -> bool:
@@ -254,21 +264,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold:
     """doc_id, item_id, score, first_word, end_word of every passage that scores the threshold or more and lies apart from a better one."""
     if not fits(benchmark, most_broadcast):
         return _by_joins(docs, benchmark, n, threshold).drop("tag")
-    match, ids = matcher(docs, benchmark, n, threshold)
-    number = F.array(*[F.lit(k).cast("long") for k in ids]) if len(ids) <= 1000 else None
-    found = docs.select("doc_id", F.explode(match).alias("m"))
-    if number is not None:
-        named = found.withColumn("item_id", F.get(number, F.col("m.item"))) if ids else found.withColumn("item_id", F.lit(None).cast("long"))
-    else:
-        table = docs.sparkSession.createDataFrame(list(enumerate(ids)), "row int, item_id long")
-        named = found.join(F.broadcast(table), F.col("m.item") == F.col("row"))
-    return named.select("doc_id", "item_id", "m.score", "m.first_word", "m.end_word")
+    found = docs.select("doc_id", F.explode(matcher(docs, benchmark, n, threshold)).alias("m"))
+    return found.select("doc_id", "m.item_id", "m.score", "m.first_word", "m.end_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """docs without the rows that contain a passage of the benchmark."""
     if fits(benchmark, most_broadcast):
-        match, _ = matcher(docs, benchmark, n, threshold)
-        return docs.filter(F.size(match) == 0)
+        return docs.filter(F.size(matcher(docs, benchmark, n, threshold)) == 0)
     bad = cut(_by_joins(docs, benchmark, n, threshold).select(F.col("doc_id").alias("__fathom_id"), F.col("tag").alias("__fathom_tag")).distinct(), "leaks")
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__fathom_id")) & (F.xxhash64(docs["text"]) == F.col("__fathom_tag")), "left_anti")

