@@ -22,7 +22,7 @@ DOCS = [
 
 @pytest.fixture(scope="module")
 def kb(spark):
-    return spark.createDataFrame(DOCS, KB)
+    return spark.createDataFrame(DOCS, KB).withColumn("source_sha256", F.sha2("body", 256))
 
 
 def asked(spark, *queries):
@@ -139,3 +139,177 @@ def test_session(spark, kb):
     turns = spark.createDataFrame([(1, 0, "boil water"), (1, 1, "what about fire"), (2, 0, "zebra"), (2, 1, "and then?"), (None, 0, "x"), (3, 0, None)], "conv_id long, turn long, text string")
     rows = {(r["conv_id"], r["turn"]): r for r in session_turns(turns, lambda q: rank.search(q, kb))[0].collect()}
     assert len(rows) == 4 and rows[1, 1]["searched"].startswith("boil water Water water purification") and rows[2, 1]["searched"] == "and then?"
+
+
+def test_shared_folder_needs_a_name_on_a_cluster():
+    from fathom.plans.shared import shared_folder
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getConf = lambda self: {}
+
+    class Session:
+        conf, sparkContext = type("Conf", (), {"get": staticmethod(lambda name, default: default)}), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
+
+
+def test_line_ends_and_hidden_files(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "kb/.h").mkdir(parents=True)
+    (tmp_path / "kb/.h/one.md").write_text("# One\n\ntext")
+    (tmp_path / "kb/_two.md").write_text("---\ntitle: Two\n---\nbody")
+    (tmp_path / "kb/three.md").write_text("three")
+    rows = {r["path"]: r for r in markdown.read_knowledge(spark, str(tmp_path / "kb")).collect()}
+    assert rows.keys() == {".h/one.md", "_two.md", "three.md"} and rows[".h/one.md"]["title"] == "One" and rows["_two.md"]["title"] == "Two"
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as pack:
+        pack.writestr("a.md", b"---\r\ntitle: T\r\ntags:\r\n- x\r\n---\r\nPara one.\r\n\r\nPara two.\r\n")
+    row = markdown.read_knowledge(spark, str(tmp_path / "p.zip")).first()
+    assert row["body"] == "Para one.\n\nPara two." and row["title"] == "T" and row["tags"] == ["x"]
+    assert markdown.front_matter("") == {"meta": {}, "listed": [], "body": ""}
+
+
+def test_index_hashes_the_whole_source_and_files(spark, tmp_path):
+    import hashlib
+    import json
+
+    from fathom.plans import reports
+
+    text = "---\ntitle: T\nlanguage: en\n---\nwater water boil"
+    (tmp_path / "kb/en").mkdir(parents=True)
+    (tmp_path / "kb/en/a.md").write_text(text)
+    (tmp_path / "kb/pack.json").write_text(json.dumps({"name": "n", "version": "1", "languages": None, "license": "l", "source": "s"}))
+    kb = markdown.read_knowledge(spark, str(tmp_path / "kb"))
+    assert postings.audit_index(kb).first()["source_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    pack = markdown.describe_pack(kb, str(tmp_path / "kb"))
+    assert pack["languages"] == []
+    path = reports.write_index(kb, str(tmp_path / "out/index.json"), pack)
+    said = open(path).read()
+    index = json.loads(said)
+    assert said == json.dumps(index, indent=2, sort_keys=True) + "\n"
+    assert (index["index_version"], index["document_count"], index["term_count"], index["pack"]["name"]) == (1, 1, 2, "n") and index["documents"][0]["terms"] == {"boil": 1, "water": 2}
+    path = reports.write_model(kb, str(tmp_path / "model.json"), 1)
+    model = json.loads(open(path).read())
+    assert open(path).read() == json.dumps(model, indent=2, sort_keys=True) + "\n" and model["transitions"] == {"water": {"boil": 1, "water": 1}} and model["transition_count"] == 1
+    assert "Transitions: 1" in reports.describe_model(path)
+    checks = reports.self_check(kb)
+    assert all(ok for _, ok, _ in checks) and "[OK] knowledge: 1 document(s) found" in reports.show_checks(checks)
+    assert not all(ok for _, ok, _ in reports.self_check(kb.limit(0)))
+
+
+def test_pack_without_manifest_has_only_that_error(spark, kb):
+    assert [r["message"] for r in packs.validate_pack(kb, {}).collect() if r["severity"] == "error"] == ["missing manifest"]
+
+
+def test_evaluation_report(spark, kb, tmp_path):
+    import json
+
+    from fathom.plans import reports
+    from fathom.plans.engine import Engine
+
+    cases = spark.createDataFrame([("radio", "radio", "direct", None), ("zebra", "water", "standard", "en")], "query string, expected_tag string, difficulty string, expected_language string")
+    report = reports.evaluation_report(Engine(kb), cases)
+    assert report["total_cases"] == 2 and report["correct"] == 1 and report["by_expected_language"].keys() == {"en", "unspecified"} and report["confidence"]["NONE"] == 1
+    assert report["cases"][0]["result"]["path"] == "en/same1.md" and report["cases"][1]["result"] is None and report["top_result_languages"] == {"NONE": 1, "en": 1}
+    assert "- 'zebra': no result" in reports.show_evaluation(report)
+    assert json.loads(open(reports.write_report(report, str(tmp_path / "r.json"))).read())["total_cases"] == 2
+    empty = reports.evaluation_report(Engine(kb), cases.limit(0))
+    assert empty["total_cases"] == 0 and empty["latency_ms"]["p95"] == 0.0 and empty["cases"] == []
+
+
+def test_stored_postings_rank_the_same(spark, kb):
+    q = asked(spark, "boil water", "radio", "the")
+    one, two = (sorted(map(tuple, rank.scored(q, kb, kind, stored).collect())) for kind, stored in (("bm25", None), ("bm25", rank.postings(kb))))
+    assert one == two
+    every = {(r["qid"], r["path"]): r["score"] for r in rank.scored(q, kb).collect()}
+    best = {(r["qid"], r["path"]): r["score"] for r in rank.top(rank.scored(q, kb, top_k=1), 1).collect()}
+    assert best and all(every[k] == v for k, v in best.items())
+
+
+def test_console_forgets(spark, kb, capsys):
+    import argparse
+
+    from fathom.cli import console
+    from fathom.plans.engine import Engine
+
+    lines = iter(["boil water", "", "what about fire", "clear", "what about fire", "exit"])
+    assert console(Engine(kb), argparse.Namespace(top_k=3), lambda _: next(lines)) == 0
+    said = capsys.readouterr().out
+    assert "Context cleared." in said and said.count("CONFIDENCE]") == 3
+    first, second = said.split("Context cleared.")
+    assert "Title: Water" in first.split("> ")[-1] or "Title: Water" in first
+    assert "Title: Fire" in second  # without the context it is about fire alone
+
+
+def test_page_and_history(spark, kb):
+    from fathom import web
+    from fathom.plans.engine import Engine
+    from fathom.streaming.session import Session
+
+    assert web.parameter("q=a%20b+c&clear=1", "q") == "a b c" and web.parameter("x=1", "q") == ""
+    shown = web.page("<q>", [(f"q{k}", "<a>") for k in range(6)]).decode()
+    assert "&lt;q&gt;" in shown and "q1" not in shown and shown.count("<section>") == 4
+    session = Session(Engine(kb))
+    assert session.passage("boil water").startswith("Boil water") and session.context.startswith("boil water Water")
+    assert session.passage("zebra") == answer.REFUSAL and session.context.startswith("boil water Water")
+    session.clear()
+    assert session.context is None
+    rows = spark.createDataFrame([(1, k, "u", f"t{k}<") for k in range(6)], "conv_id long, turn long, role string, text string")
+    html = web.history_html(rows, F.col("role"), F.col("text")).first()["html"]
+    assert html.startswith("<section><h2>u</h2><pre>t2&lt;</pre>") and html.count("<section>") == 4
+
+
+def test_stream_of_sessions(spark, kb, tmp_path):
+    from fathom.streaming.session import run_sessions
+
+    shape = "conv_id long, turn long, text string"
+    for k, row in enumerate([(1, 0, "boil water"), (1, 1, "what about fire"), (1, 2, "and then?")]):
+        spark.createDataFrame([row], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        run_sessions(stream, lambda q: rank.search(q, kb), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    rows = {r["turn"]: r["searched"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows[0] == "boil water" and rows[1].startswith("boil water Water") and rows[2].endswith("and then?") and rows[2] != "and then?"
+    assert sorted(p.name for p in (tmp_path / "check/memory").iterdir() if p.name.isdigit()) == ["1", "2"]
+
+
+def test_chunk_column_matches_loop(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choices(["ab. ", "c", "dd ", "\n\n", "! ", "x" * 9], k=rng.randint(0, 60))),) for _ in range(150)] + [("",), (" \n\n ",), (None,)]
+    for r in spark.createDataFrame(rows, "t string").select("t", chunking.chunked(F.col("t"), 20).alias("c")).collect():
+        assert r["c"] == (None if r["t"] is None else chunking.chunks(r["t"], 20)), r["t"]
+
+
+def test_pdf_document(spark):
+    pages = spark.createDataFrame([("/x/my_file.pdf", "ab", 1, "Water Safety\nAlways boil unsafe water before you drink any of it."), ("/x/my_file.pdf", "ab", 2, "ok")], "path string, source_sha256 string, page int, text string")
+    said = pdf.document_to_markdown(pages, language="en", tags=("a", "b")).first()["markdown"]
+    assert said.startswith("---\ntitle: Water Safety\nlanguage: en\ntags:\n  - a\n  - b\npriority: normal\nsource_type: pdf\nsource_file: my_file.pdf\nsource_sha256: ab\npages: 2\n---\n\n## Important Points\n\n- Always boil")
+    assert "## Extracted Text\n\n### Page 1\n\n### Water Safety\n" in said and said.endswith("### Page 2\n\nok\n")
+    plain = pdf.document_to_markdown(pages.withColumn("text", F.lit("ok"))).first()["markdown"]
+    assert "title: My File\n" in plain and "  - imported\n" in plain and "No high-signal" in plain
+
+
+def test_export_gate_and_digest(spark, tmp_path, capsys):
+    from fathom.cli import main
+
+    (tmp_path / "kb").mkdir()
+    (tmp_path / "kb/a.md").write_text("text")
+    assert main(["--source", str(tmp_path / "kb"), "--export", str(tmp_path / "p.zip"), "--require-valid"]) == 1 and "ERROR: missing manifest" in capsys.readouterr().out
+    assert main(["--source", str(tmp_path / "kb"), "--export", str(tmp_path / "p.zip")]) == 0
+    assert f"SHA-256: {markdown.file_digest(str(tmp_path / 'p.zip'))}" in capsys.readouterr().out
+    assert main(["--source", str(tmp_path / "kb"), "--list"]) == 0 and "unknown | normal | A | none | a.md" in capsys.readouterr().out
+    assert main(["--import-pdf", str(tmp_path / "none.pdf")]) == 1
+
+
+def test_engine_takes_any_strategy(spark, kb):
+    from fathom.plans.engine import Engine
+
+    q = asked(spark, "radio")
+    assert Engine(kb, "no such").search(q).count() == Engine(kb).search(q).count() == 2
+
+    class Nothing:
+        def search(self, queries, kb, top_k, language, stored):
+            return rank.search(queries, kb.limit(0))
+
+    assert Engine(kb, Nothing()).answer(q).first()["accepted"] is False
