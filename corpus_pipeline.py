@@ -43,7 +43,7 @@ STAGES = [
     ("mixing", source_mix),
 ]
 
-#: The toxicity network, min-max hashing and Smith-Waterman have no SQL form; tests use brute force.
+#: The toxicity network, min-max hashing and Smith-Waterman have no SQL form; a test compares with plain stages.
 ORACLE_SQL = None
 
 
