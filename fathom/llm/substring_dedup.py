@@ -8,7 +8,9 @@ earlier anchor has the same repeats. The suffixes are partitioned by their prefi
 memory is split by longer prefixes: all its members share one passage, and repeats longer to the right (or,
 of that right end, longer to the left) lie in the partitions of the next word. In a memory-sized partition
 the sorted suffixes and their common prefixes form the subtree; its internal nodes are visited from the
-deepest up, and each member's best agreement to the left within a node gives a maximal repeat. Suffixes that
+deepest up, and each member's best agreement to the left within a node gives a maximal repeat. Of the right
+symbols only neighbours are compared, as they arrive, and none are kept: memory doesn't depend on how far
+suffixes are read, so large clusters of long near copies aren't split one edit a round. Suffixes that
 agree as far as they were read are read on, GROWTH times further each round, under a prefix of that length.
 
 A run of equal words is one symbol with its length, and only the anchors of its first and last MIN_WORDS
@@ -46,12 +48,12 @@ from fathom.llm.ragged import NONSPACE, byte_chunks, chain, first_of_document, m
 from fathom.llm.scratch import cut, small_batches
 
 MIN_WORDS, ANCHOR = 50, 26
-#: Most bytes of a partition whose tree is built in memory.
+#: Most bytes of a partition whose tree is built in memory: its left symbols and a few numbers a suffix.
 GROUP = 16 << 20
 #: Symbols of a suffix that are read in the first round, and how much further each next round reads.
 FIRST, GROWTH = 100, 4
-#: Symbols of a batch of trees.
-BATCH = 4_000_000
+#: Symbols of a batch of trees, and those of neighbours that are compared at a time.
+BATCH, SLICE = 4_000_000, 1 << 18
 _MARK = np.uint32(1 << 31)
 _LOW = (1 << 31) - 1
 
@@ -257,6 +259,29 @@ class Symbols:
         return np.lexsort(np.vstack([self.size, self.cell.T[::-1]]))
 
 
+def neighbours(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of each ragged row; and symbols and words on which each row but the first agrees with the one before, from their start."""
+    edge = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    size, data = np.diff(edge) // 4, values.buffers()[2]
+    at, words = np.minimum(size[:-1], size[1:]), np.zeros(len(size) - 1, np.int64)
+    i = 0
+    while i < len(at):
+        j = min(len(at), max(i + 1, int(np.searchsorted(edge, edge[i] + 4 * SLICE, "right")) - 2))
+        raw = np.frombuffer(data, np.uint8)[edge[i] : edge[j + 1]].view(">u4").astype(np.uint32) if edge[j + 1] > edge[i] else np.zeros(1, np.uint32)
+        begin, short = (edge[i : j + 1] - edge[i]) // 4, at[i:j].copy()
+        differ = np.flatnonzero(raw[_ragged(begin[:-1], short)] != raw[_ragged(begin[1:], short)])
+        before = np.cumsum(short) - short
+        pair = np.searchsorted(np.cumsum(short), differ, "right")
+        new = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
+        at[i + pair[new]] = differ[new] - before[pair[new]]
+        sums = np.r_[0, np.cumsum(weights(raw))]
+        x, y = (np.minimum(b + at[i:j], len(raw) - 1) for b in (begin[:-1], begin[1:]))
+        both = (at[i:j] < short) & (raw[x] >= _MARK) & (raw[y] >= _MARK)
+        words[i:j] = sums[begin[:-1] + at[i:j]] - sums[begin[:-1]] + np.where(both, np.minimum(raw[x], raw[y]).astype(np.int64) - int(_MARK) - 1, 0)
+        i = j
+    return size, at, words
+
+
 def nodes(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last row of the node of each pair of neighbours: as far as neighbours share at least as much."""
     n = len(shared)
@@ -274,14 +299,11 @@ def nodes(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def tree_repeats(group: np.ndarray, lo: np.ndarray, right: Symbols, left: Symbols, ids: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Of suffixes sorted by group and right symbols: row, words to the left and to the right, members and least id of each node that shows a row more to its left than deeper nodes do."""
-    n = len(group)
+def tree_repeats(shared: np.ndarray, left: Symbols, ids: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of suffixes sorted by group and right symbols, from the words that neighbours share to the right: row, words to the left and to the right, members and least id of each node that shows a row more to its left than deeper nodes do."""
+    n = len(ids)
     out = [np.zeros((0, 5), np.int64)]
     if n > 1:
-        row = np.arange(n - 1)
-        same = group[1:] == group[:-1]
-        shared = np.where(same, right.common(row, row + 1)[1] + lo[1:], -1)
         low, high = nodes(shared)
         rank = np.empty(n, np.int64)
         rank[left.order()] = np.arange(n)
@@ -320,16 +342,13 @@ def _ranked(ids: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def _tree_rows(min_words: int):
     def finish(table: pa.Table) -> pa.RecordBatch:
         col = {c: table.column(c).combine_chunks() for c in table.column_names}
-        group, lo, at = (np.asarray(col[c]).astype(np.int64) for c in ("g", "lo", "at"))
-        right, left = Symbols(col["right"]), Symbols(col["left"])
+        at, shared = (np.asarray(col[c]).astype(np.int64) for c in ("at", "shared"))
+        left = Symbols(col["left"])
         ids, named = _ranked(col["id"])
-        row, before, after, copies, least = tree_repeats(group, lo, right, left, ids, min_words)
+        row, before, after, copies, least = tree_repeats(shared[1:], left, ids, min_words)
         # Equal suffixes that go on are read further, unless all go on to the left alike.
-        n = len(group)
-        equal = np.zeros(max(0, n - 1), bool)
-        if n > 1:
-            k = np.arange(n - 1)
-            equal = (group[1:] == group[:-1]) & (right.size[1:] == right.size[:-1]) & (right.common(k, k + 1)[0] == right.size[1:])
+        n = len(at)
+        equal = col["equal"].to_numpy(zero_copy_only=False).astype(bool)[1:]
         order = left.order()
         kind = np.empty(n, np.int64)
         kind[order] = np.r_[0, np.cumsum((left.cell[order[1:]] != left.cell[order[:-1]]).any(axis=1) | (left.size[order[1:]] != left.size[order[:-1]]))]
@@ -344,7 +363,7 @@ def _tree_rows(min_words: int):
         return pa.record_batch(
             [
                 col["id"].take(rows), col["key"].take(rows), col["at"].take(rows), pa.concat_arrays([pa.array(at[row] - before, pa.int32()), blank]), pa.concat_arrays([pa.array(at[row] + after, pa.int32()), blank]),
-                pa.array(np.r_[copies, np.zeros(len(more), np.int64)]), named.take(pa.array(np.r_[least, np.full(len(more), len(named) - 1)])), pa.concat_arrays([pa.nulls(len(row), pa.int32()), pa.array((np.asarray(col["skip"]).astype(np.int64) + right.size)[more], pa.int32())]),
+                pa.array(np.r_[copies, np.zeros(len(more), np.int64)]), named.take(pa.array(np.r_[least, np.full(len(more), len(named) - 1)])), pa.concat_arrays([pa.nulls(len(row), pa.int32()), pa.array((np.asarray(col["skip"]).astype(np.int64) + np.asarray(col["size"]))[more], pa.int32())]),
             ],
             ["id", "key", "at", "first_word", "end_word", "copies", "original", "more"],
         )
@@ -352,11 +371,19 @@ def _tree_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         rows = widest = 0
+        last, last_group = pa.array([b""], pa.binary()), None
         for batch in batches:
             if not len(batch):
                 continue
-            waiting.append(batch)
-            rows, widest = rows + len(batch), max(widest, pc.max(pc.binary_length(batch.column("right"))).as_py() // 4 + 2 * min(64, pc.max(pc.binary_length(batch.column("left"))).as_py() // 4))
+            # Each row's agreement with the one before takes the place of its right symbols.
+            group, lo, right = np.asarray(batch.column("g")), np.asarray(batch.column("lo")).astype(np.int64), batch.column("right")
+            size, common, words = neighbours(pa.concat_arrays([last, right]))
+            same = np.r_[last_group is not None and group[0] == last_group, group[1:] == group[:-1]]
+            last, last_group = pa.array([right[-1].as_py()], pa.binary()), group[-1]
+            kept = batch.select(["g", "id", "key", "at", "skip", "left", "goes_on", "bound"])
+            equal = same & (size[1:] == size[:-1]) & (common == size[1:])
+            waiting.append(pa.record_batch([*kept.columns, pa.array(size[1:]), pa.array(np.where(same, words + lo, -1)), pa.array(equal)], [*kept.schema.names, "size", "shared", "equal"]))
+            rows, widest = rows + len(batch), max(widest, 32 + 2 * (pc.max(pc.binary_length(batch.column("left"))).as_py() // 4))
             if rows * max(1, widest) >= BATCH:
                 table = pa.Table.from_batches(waiting)
                 g = np.asarray(table.column("g"))
@@ -396,7 +423,7 @@ def _partitions(rows: DataFrame, min_words: int, group: int, kind: str) -> list[
     trees = lambda some: some.repartition("g").sortWithinPartitions("g", "right").mapInArrow(_tree_rows(min_words), shape)
     done = []
     while True:
-        size = F.sum(F.octet_length("left") + F.octet_length("right") + 32)
+        size = F.sum(F.octet_length("left") + 32)
         large = cut(rows.groupBy("g").agg(size.alias("bytes")).filter(F.col("bytes") > group).select("g"), "large")
         if large.isEmpty():
             return done + [trees(rows)]

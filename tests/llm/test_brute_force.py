@@ -126,6 +126,32 @@ def test_repeats_have_their_own_copies(spark):
     assert got == repeats(rows, 50) and (1, 0, 200, 2, 1) in got and (3, 9, 69, 3, 1) in got
 
 
+def test_large_clusters_of_near_copies_are_not_split_by_edits(spark, monkeypatch):
+    """30 copies of a text with an edit each: one partition in memory, whatever the length that is read."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for d in range(30):
+        w = list(base)
+        w[rng.randrange(20, 290)] = f"edit{d}"
+        rows.append((d, " ".join(w)))
+    names, cut = [], substring_dedup.cut
+    monkeypatch.setattr(substring_dedup, "cut", lambda df, name: names.append(name) or cut(df, name))
+    got = list(map(tuple, substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 8, 4, 4000).collect()))
+    assert set(got) == repeats(rows, 8) and len(got) == len(set(got))
+    assert names.count("parts") == 0
+
+
+def test_neighbours_agree_as_the_matrix_says(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE", 7)
+    rng = np.random.default_rng(2)
+    rows = sorted(b"".join(int(x).to_bytes(4, "big") for x in rng.choice([1, 2, (1 << 31) | 3, (1 << 31) | 5], rng.integers(0, 9))) for _ in range(200))
+    values = pa.array([b"1234", *rows], pa.binary()).slice(1)
+    k, s = np.arange(len(rows) - 1), substring_dedup.Symbols(values)
+    size, at, words = substring_dedup.neighbours(values)
+    assert (size == s.size).all() and all((x == y).all() for x, y in zip((at, words), s.common(k, k + 1)))
+
+
 def test_lm_against_direct_model(spark):
     rng = random.Random(4)
     texts = [(k, "".join(rng.choices("abc é\n", k=rng.randint(0, 120)))) for k in range(60)] + [(5, "abcabc"), (5, "abcabc"), (None, "xyz"), (61, None)]
