@@ -481,9 +481,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, g
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= 2 * min_words - 1).withColumn("key", F.xxhash64("id", "text"))
     numbered = texts.select("key", F.monotonically_increasing_id().alias("number"), "text")
-    found = cut(numbered.mapInArrow(_anchor_rows(anchor, spread), "g long, key long, at int, bits long"), "anchors")
-    diverse = cut(found.groupBy("g").agg(F.bit_or("bits").alias("bits")).filter(f"bits & shiftright(bits, 32) & {_LOW} <> 0").select("g"), "diverse")
-    places = found.select("g", "key", "at").join(diverse, "g", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", F.lit(0).alias("skip"))).alias("places"))
+    found = numbered.mapInArrow(_anchor_rows(anchor, spread), "g long, key long, at int, bits long")
+    # One shuffle by prefix, and no table of all anchors: a window gives each anchor its prefix's bits.
+    diverse = found.withColumn("all", F.bit_or("bits").over(W.partitionBy("g"))).filter(f"all & shiftright(all, 32) & {_LOW} <> 0")
+    places = cut(diverse.groupBy("key").agg(F.collect_set(F.struct("at", F.lit(0).alias("skip"))).alias("places")), "places")
     held = cut(texts.join(places, "key").select("id", "key", "text", "places"), "held")
     shape = f"g long, id {kind}, key long, at int, skip int, lo int, left binary, right binary, goes_on boolean, bound boolean"
     spans, width, now = [], FIRST, held

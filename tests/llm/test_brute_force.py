@@ -142,6 +142,14 @@ def test_large_clusters_of_near_copies_are_not_split_by_edits(spark, monkeypatch
     assert names.count("parts") == 0
 
 
+def test_repeats_write_no_table_of_all_anchors(spark, monkeypatch):
+    names, cut = [], substring_dedup.cut
+    monkeypatch.setattr(substring_dedup, "cut", lambda df, name: names.append(name) or cut(df, name))
+    rows = [(d, " ".join(f"w{k}" for k in range(d, 60 + d))) for d in range(3)]
+    assert set(map(tuple, substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 8, 4).collect())) == repeats(rows, 8)
+    assert names[:2] == ["places", "held"]
+
+
 def test_neighbours_agree_as_the_matrix_says(monkeypatch):
     monkeypatch.setattr(substring_dedup, "SLICE", 7)
     rng = np.random.default_rng(2)
