@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from fathom.llm.decontaminate import decontaminate
 from fathom.llm.line_dedup import line_dedup
 from fathom.llm.mixing import mix_sources
 from fathom.llm.near_dedup import near_dedup
-from fathom.llm.scratch import cut
+from fathom.llm.scratch import cut, settle
 from fathom.llm.toxicity import drop_toxic
 
 
@@ -35,12 +38,23 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
+def settled(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, which begins without the heap that the one before it left; an executor's memory would grow from stage to stage."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", toxicity),
-    ("line_dedup", common_lines),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", benchmark_leaks),
-    ("mixing", source_mix),
+    ("toxicity", settled(toxicity)),
+    ("line_dedup", settled(common_lines)),
+    ("near_duplicates", settled(near_duplicates)),
+    ("decontamination", settled(benchmark_leaks)),
+    ("mixing", settled(source_mix)),
 ]
 
 #: The toxicity network, min-max hashing and Smith-Waterman have no SQL form; a test compares with plain stages.

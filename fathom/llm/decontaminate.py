@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.ragged import byte_chunks, chain, first_of_document, mix, ngram_starts, span_hashes, word_spans
-from fathom.llm.scratch import cut, small_batches
+from fathom.llm.scratch import cut, small_batches, trimmed
 
 N = 3
 THRESHOLD = 0.5
@@ -188,6 +188,7 @@ def matcher(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float
     held = docs.sparkSession.sparkContext.broadcast((vars(bench), ids))  # plain arrays: workers need no import to read them
 
     @F.arrow_udf(f"array<struct<item_id: {_kind(benchmark, 'item_id')}, score: double, first_word: int, end_word: int>>")
+    @trimmed
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bench = Benchmark.__new__(Benchmark)
         vars(bench).update(held.value[0])
@@ -247,12 +248,12 @@ def _by_joins(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float) -
     kind, item_kind = _kind(docs, "doc_id"), _kind(benchmark, "item_id")
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    own = cut(items.mapInArrow(grams, f"id {item_kind}, tag long, gram long, word int"), "items")
+    own = cut(items.mapInArrow(trimmed(grams), f"id {item_kind}, tag long, gram long, word int"), "items")
     seeds = own.select(F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), "gram", F.col("word").alias("item_word"))
-    pairs = texts.mapInArrow(grams, f"id {kind}, tag long, gram long, word int").join(seeds, "gram").groupBy("id", "tag", "item_id", "item_tag").agg(F.collect_set(F.col("word") - F.col("item_word")).alias("diagonals"))
+    pairs = texts.mapInArrow(trimmed(grams), f"id {kind}, tag long, gram long, word int").join(seeds, "gram").groupBy("id", "tag", "item_id", "item_tag").agg(F.collect_set(F.col("word") - F.col("item_word")).alias("diagonals"))
     p, t, q = pairs.alias("p"), texts.alias("t"), items.alias("q")
     with_text = p.join(t, F.col("p.id").eqNullSafe(F.col("t.id")) & (F.col("p.tag") == F.col("t.tag"))).join(q, F.col("p.item_id").eqNullSafe(F.col("q.id")) & (F.col("p.item_tag") == F.col("q.tag")))
-    return with_text.select("p.id", "p.tag", "p.item_id", "p.diagonals", "t.text", F.col("q.text").alias("item_text")).mapInArrow(scored, f"doc_id {kind}, tag long, item_id {item_kind}, score double, first_word int, end_word int")
+    return with_text.select("p.id", "p.tag", "p.item_id", "p.diagonals", "t.text", F.col("q.text").alias("item_text")).mapInArrow(trimmed(scored), f"doc_id {kind}, tag long, item_id {item_kind}, score double, first_word int, end_word int")
 
 
 def fits(benchmark: DataFrame, most: int = MOST_BROADCAST) -> bool:

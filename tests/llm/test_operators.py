@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 
 import corpus_pipeline
-from fathom.llm import decontaminate, gif_media, line_dedup, lm_score, mixing, near_dedup, queries, secret_scan, substring_dedup, token_counts, toxicity
+from fathom.llm import decontaminate, gif_media, line_dedup, lm_score, mixing, near_dedup, queries, scratch, secret_scan, substring_dedup, token_counts, toxicity
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, sig string, at int"
 rng = np.random.default_rng(5)
@@ -271,3 +271,29 @@ def test_near_duplicates_across_hubs(spark, monkeypatch):
     rows = [(k, " ".join(f"w{x}" for x in range(at, at + 200))) for k, at in ((1, 0), (2, 100), (3, 50))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(2, 1, 3), (3, 1, 3)]
+
+
+def test_stages_begin_with_settled_executors(spark):
+    """The unused heap of one stage isn't carried into the next: each has a full collection (here of the one JVM)."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    none = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        assert stage(spark, none, DATA).count() == 0
+        assert full() > before, name
+
+
+def test_worker_gives_freed_memory_back():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+    kept = []
+
+    def run(batches):
+        for batch in batches:
+            made = [np.ones(8000) for _ in range(4000)]
+            kept.extend(made[::50])  # what stays between freed blocks keeps these from going back by themselves
+            yield batch
+
+    before = resident()
+    assert list(scratch.trimmed(run)(iter([1]))) == [1]
+    assert resident() - before < 60
