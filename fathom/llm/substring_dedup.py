@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.llm.ragged import NONSPACE, byte_chunks, chain, first_of_document, mix, ngram_starts, span_hashes, word_spans
-from fathom.llm.scratch import cut, small_batches
+from fathom.llm.scratch import cut, settle, small_batches, trimmed
 
 MIN_WORDS, ANCHOR = 50, 26
 #: Most bytes of a partition whose tree is built in memory: its left symbols and a few numbers a suffix.
@@ -420,7 +420,7 @@ def _partitions(rows: DataFrame, min_words: int, group: int, kind: str) -> list[
     shape = f"id {kind}, key long, at int, first_word int, end_word int, copies long, original {kind}, more int"
     names = [c.split()[0] for c in shape.split(", ")]
     columns = rows.columns
-    trees = lambda some: some.repartition("g").sortWithinPartitions("g", "right").mapInArrow(_tree_rows(min_words), shape)
+    trees = lambda some: some.repartition("g").sortWithinPartitions("g", "right").mapInArrow(trimmed(_tree_rows(min_words)), shape)
     done = []
     while True:
         size = F.sum(F.octet_length("left") + 32)
@@ -430,7 +430,7 @@ def _partitions(rows: DataFrame, min_words: int, group: int, kind: str) -> list[
         big = rows.join(large, "g")
         ends = [f(side).alias(f"{name}_{side}") for side in ("right", "left") for name, f in (("least", F.min), ("most", F.max))]
         facts = big.groupBy("g").agg(F.count("*").alias("members"), F.min("id").alias("original"), *ends)
-        shared = cut(facts.mapInArrow(_shared_rows, f"g long, right_bytes int, right_words int, right_marked boolean, left_bytes int, left_words int, left_marked boolean, members long, original {kind}"), "shared")
+        shared = cut(facts.mapInArrow(trimmed(_shared_rows), f"g long, right_bytes int, right_words int, right_marked boolean, left_bytes int, left_words int, left_marked boolean, members long, original {kind}"), "shared")
         known = cut(big.join(shared, "g"), "members")
         # Runs of different lengths are no prefixes of each other: they stay together, whatever their number.
         done.append(trees(rows.join(large, "g", "left_anti").unionByName(known.filter("right_marked or (left_marked and length(right) = right_bytes)").select(columns))))
@@ -464,7 +464,7 @@ def _run_rows(min_words: int):
 
 def _counted_in_runs(spans: DataFrame, held: DataFrame, min_words: int, kind: str) -> DataFrame:
     """spans with the copies of those within a run of one word counted over all runs: a run of n holds n - k + 1 passages of k."""
-    runs = cut(held.select("id", "key", "text").mapInArrow(_run_rows(min_words), f"id {kind}, key long, word long, start int, stop int"), "runs")
+    runs = cut(held.select("id", "key", "text").mapInArrow(trimmed(_run_rows(min_words)), f"id {kind}, key long, word long, start int, stop int"), "runs")
     lengths = runs.groupBy("word", (F.col("stop") - F.col("start")).alias("n")).agg(F.count("*").alias("c"))
     s, r = spans.alias("s"), runs.distinct().alias("r")
     inside = (F.col("s.key") == F.col("r.key")) & F.col("s.id").eqNullSafe(F.col("r.id")) & (F.col("s.first_word") >= F.col("r.start")) & (F.col("s.end_word") <= F.col("r.stop"))
@@ -481,7 +481,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, g
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= 2 * min_words - 1).withColumn("key", F.xxhash64("id", "text"))
     numbered = texts.select("key", F.monotonically_increasing_id().alias("number"), "text")
-    found = numbered.mapInArrow(_anchor_rows(anchor, spread), "g long, key long, at int, bits long")
+    found = numbered.mapInArrow(trimmed(_anchor_rows(anchor, spread)), "g long, key long, at int, bits long")
     # One shuffle by prefix, and no table of all anchors: a window gives each anchor its prefix's bits.
     diverse = found.withColumn("all", F.bit_or("bits").over(W.partitionBy("g"))).filter(f"all & shiftright(all, 32) & {_LOW} <> 0")
     places = cut(diverse.groupBy("key").agg(F.collect_set(F.struct("at", F.lit(0).alias("skip"))).alias("places")), "places")
@@ -489,7 +489,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, g
     shape = f"g long, id {kind}, key long, at int, skip int, lo int, left binary, right binary, goes_on boolean, bound boolean"
     spans, width, now = [], FIRST, held
     while True:
-        rows = cut(now.mapInArrow(_suffix_rows(anchor, spread, width), shape), "suffixes")
+        settle(docs.sparkSession)
+        rows = cut(now.mapInArrow(trimmed(_suffix_rows(anchor, spread, width)), shape), "suffixes")
         parts = _partitions(rows, min_words, group, kind)
         both = parts[0]
         for more in parts[1:]:

@@ -297,3 +297,26 @@ def test_worker_gives_freed_memory_back():
     before = resident()
     assert list(scratch.trimmed(run)(iter([1]))) == [1]
     assert resident() - before < 60
+
+
+def test_repeats_begin_rounds_settled_and_workers_trim(spark, monkeypatch):
+    """Each round of reading on begins after a full collection (here of the one JVM), and no worker keeps freed memory."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    monkeypatch.setattr(substring_dedup, "FIRST", 30)
+    kind = type(spark.range(1))
+    real, wrapped, collected = kind.mapInArrow, [], []
+
+    def seen(self, run, *rest):
+        wrapped.append(getattr(run, "__wrapped__", None) is not None)
+        if "_suffix_rows" in run.__qualname__:
+            collected.append(full())
+        return real(self, run, *rest)
+
+    monkeypatch.setattr(kind, "mapInArrow", seen)
+    begun = full()
+    text = " ".join(f"w{k}" for k in range(300))
+    got = substring_dedup.repeats(spark.createDataFrame([(1, "a " + text), (2, "b " + text + " c")], "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 301, 2, 1), (2, 1, 301, 2, 1)]
+    assert len(collected) > 1 and all(b > a for a, b in zip([begun, *collected], collected))
+    assert wrapped and all(wrapped)
