@@ -313,3 +313,35 @@ def test_engine_takes_any_strategy(spark, kb):
             return rank.search(queries, kb.limit(0))
 
     assert Engine(kb, Nothing()).answer(q).first()["accepted"] is False
+
+
+def test_search_lets_out_contenders_only(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = [(f"en/{k:04}.md", "T", " ".join(["common", *rng.choices("ab cd ef gh ij".split(), k=rng.randint(0, 9))]), "en", [], "normal") for k in range(300)]
+    kb = spark.createDataFrame(docs, KB)
+    q = asked(spark, *[f"common {a} {b}" for a in "ab cd ef".split() for b in "gh ij".split()])
+    pairs = rank.scored(q, kb).count()
+    want = sorted(map(tuple, rank.top(rank.scored(q, kb), 2).select("qid", "path", "score", "rank").collect()))
+    written = {}
+    keep = lambda df, name: written.setdefault(name, rank_materialise(df, name))
+    rank_materialise = rank.materialise
+    monkeypatch.setattr(rank, "materialise", keep)
+    for groups, wanted in ((rank.GROUP_TERMS, rank.MOST_WANTED), (7, 0)):  # one group, or a few; only what is asked for, or all
+        monkeypatch.setattr(rank, "GROUP_TERMS", groups)
+        monkeypatch.setattr(rank, "MOST_WANTED", wanted)
+        written.clear()
+        assert sorted(map(tuple, rank.top(rank.scored(q, kb, top_k=2), 2).select("qid", "path", "score", "rank").collect())) == want
+        assert max(t.count() for t in written.values()) < pairs / 2  # 1,800 pairs
+
+
+def test_batch_tokens_match_loop():
+    import pyarrow as pa
+
+    from fathom.functions import batches
+
+    rng = random.Random(3)
+    pool = [chr(c) for c in (*range(0x3000), *range(0xF900, 0xFFF0), 0xAC00, 0x1D400, 0x1F100)] + list("ab XY 09") * 300
+    rows = ["".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(500)] + [None, "", "the a", " x", "ab"]
+    words, begins = batches.flat_tokens(pa.array(rows))
+    assert batches.listed(begins, words).to_pylist() == [chunking.tokenise(r or "") for r in rows]
+    assert [len(p) for p in batches.slices(pa.record_batch([pa.array(["aaa", None, "a", "aaaa", ""])], ["t"]), 4)] == [2, 1, 2]
