@@ -7,7 +7,7 @@ over a corpus and can't count in place.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +93,11 @@ def joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
+def by_row(of: Callable, kind: pa.DataType, *columns: pa.Array, rows: int = 500) -> pa.Array:
+    """of() each row, so many of which are Python objects at a time."""
+    return joined([pa.array([of(*r) for r in zip(*(c.slice(k, rows).to_pylist() for c in columns))], kind) for k in range(0, len(columns[0]), rows)], kind)
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def token_lists(text: pa.Array) -> pa.Array:
     """The tokens of each text, none of a null one."""

@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import importlib
 import io
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fathom.functions.chunking import sentences, strip
+from fathom.functions.batches import by_row
+from fathom.functions.chunking import split_sentences, strip
 from fathom.functions.text import casefold, title_case
 
 VERBS = "do not|never|avoid|stop|discard|move|evacuate|seek|call|check|keep|cover|store|separate|mark|rinse|wash|drink|use|should|warning"
@@ -52,38 +54,59 @@ def read_pdf(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sha = hashlib.sha256(content).hexdigest()
-                yield pa.RecordBatch.from_pylist([{"path": path, "source_sha256": sha, "page": k, "text": t} for k, t in enumerate(_pages(content), 1)], schema)
+                yield pa.RecordBatch.from_pylist([{"path": path, "source_sha256": sha, "page": k, "text": t} for k, t in enumerate(map(clean_text, _pages(content)), 1) if t], schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(root)
-    return files.select("path", "content").mapInArrow(pages, PAGE).withColumn("text", clean_text(F.col("text"))).filter("text <> ''")
+    return files.select("path", "content").mapInArrow(pages, PAGE)
 
 
-def clean_text(text: Column) -> Column:
+_VERB = re.compile(rf"(?<!\w)(?ai:{VERBS})(?!\w)")
+_HEADING = re.compile("[A-Z][A-Za-z0-9 ,:/()'-]{3,80}")
+
+
+def clean_text(text: str) -> str:
     """Line ends as line feeds, runs of blanks and tabs as one blank, lines trimmed, empty ones dropped."""
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    return F.array_join(F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != ""), "\n")
+    return "\n".join(filter(None, map(str.strip, re.sub("[ \t]+", " ", re.sub("\r\n?", "\n", text)).split("\n"))))
 
 
-def markdown_line(line: Column) -> Column:
-    said = strip(line)
-    return F.when(said.rlike("^[A-Z][A-Za-z0-9 ,:/()'-]{3,80}$"), F.concat(F.lit("### "), said)).otherwise(said)
+def markdown_lines(text: str) -> str:
+    """The text's lines, trimmed, those that look like one as headings."""
+    return "\n".join("### " + line if _HEADING.fullmatch(line) else line for line in map(str.strip, text.split("\n")) if line)
 
 
-def sentence_score(sentence: Column) -> Column:
+def sentence_score(sentence: str) -> int:
     """3 for a verb that says what to do, 2 each for alarm and prohibition, 1 for a handy length."""
-    low = casefold(sentence)
-    each = [(sentence.rlike(rf"(?i)\b({VERBS})\b"), 3), (low.rlike("warning|danger|urgent"), 2), (low.rlike("do not|never|avoid"), 2), (F.length(sentence).between(40, 240), 1)]
-    return sum((F.when(c, F.lit(n)).otherwise(0) for c, n in each[1:]), F.when(each[0][0], F.lit(3)).otherwise(0))
+    low = sentence.lower()
+    alarm, ban = any(w in low for w in ("warning", "danger", "urgent")), any(w in low for w in ("do not", "never", "avoid"))
+    return 3 * bool(_VERB.search(sentence)) + 2 * alarm + 2 * ban + (40 <= len(sentence) <= 240)
+
+
+def best_sentences(text: str, limit: int = 8) -> list[tuple[int, int, int, str]]:
+    """(-score, line, place, sentence) of the best sentences of 25 characters or more, each once (case aside), the earlier first on ties."""
+    best: dict[str, tuple[int, int, int, str]] = {}
+    for line, said in enumerate(text.split("\n")):
+        for at, s in enumerate(split_sentences(said)):
+            if len(s) >= 25 and (score := sentence_score(s)):
+                key, found = s.lower().replace("ß", "ss"), (-score, line, at, s)
+                best[key] = min(best.get(key, found), found)
+    return sorted(best.values())[: max(limit, 1)]
 
 
 def important_points(texts: DataFrame, limit: int = 8) -> DataFrame:
-    """(path, rank, sentence, score): of each text (path, text) its best sentences of 25 characters or more, each once (case aside), the earlier first on ties."""
-    lines = texts.select("path", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    parts = lines.select("path", "line", F.posexplode(sentences(F.col("said"))).alias("at", "sentence")).filter(F.length("sentence") >= 25)
-    good = parts.withColumn("score", sentence_score(F.col("sentence"))).filter("score > 0")
-    first = good.groupBy("path", casefold(F.col("sentence")).alias("key")).agg(F.min(F.struct(-F.col("score"), F.col("line"), F.col("at"), F.col("sentence"), F.col("score"))).alias("b"))
-    order = W.partitionBy("path").orderBy(F.desc("score"), "line", "at")
-    return first.select("path", "b.line", "b.at", "b.sentence", "b.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limit, 1)).select("path", "rank", "sentence", "score")
+    """(path, rank, sentence, score): of each text (path, text) its best sentences of 25 characters or more, each once (case aside), the earlier first on ties.
+
+    A text's best are found where it lies; only they are shuffled, for paths that have several texts.
+    """
+
+    @F.arrow_udf("array<struct<low: int, line: int, at: int, sentence: string>>")
+    def found(text: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("low", pa.int32()), ("line", pa.int32()), ("at", pa.int32()), ("sentence", pa.string())]))
+        return by_row(lambda t: None if t is None else [dict(zip(("low", "line", "at", "sentence"), b)) for b in best_sentences(t, limit)], kind, text)
+
+    good = texts.select("path", F.explode(found("text")).alias("b"))
+    first = good.groupBy("path", casefold(F.col("b.sentence")).alias("key")).agg(F.min("b").alias("b"))
+    order = W.partitionBy("path").orderBy("b.low", "b.line", "b.at")
+    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limit, 1)).select("path", "rank", "b.sentence", (-F.col("b.low")).alias("score"))
 
 
 def first_title(text: Column) -> Column:
@@ -91,27 +114,60 @@ def first_title(text: Column) -> Column:
     return F.get(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x).between(4, 100)), F.lit(0))
 
 
+def _gathered(pages: DataFrame) -> DataFrame:
+    """(path, sha, n, pages in order) of each PDF: the one shuffle of its text."""
+    return pages.groupBy("path").agg(F.max("source_sha256").alias("sha"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
+
+
+def _made(points: int) -> Column:
+    """(title, markdown, points) of a PDF's pages."""
+
+    def of(pages: list[dict]) -> dict:
+        whole = "\n\n".join(p["text"] for p in pages)
+        title = next((line for line in map(str.strip, whole.split("\n")) if 4 <= len(line) <= 100), None)
+        return {
+            "title": title, "markdown": "\n\n".join(f"### Page {p['page']}\n\n{markdown_lines(p['text'])}" for p in pages),
+            "points": "\n".join("- " + b[3] for b in best_sentences(whole, points)) if points else "",
+        }
+
+    @F.arrow_udf("struct<title: string, markdown: string, points: string>")
+    def made(pages: pa.Array) -> pa.Array:
+        return by_row(of, pa.struct([("title", pa.string()), ("markdown", pa.string()), ("points", pa.string())]), pages)
+
+    return made("pages").alias("made")
+
+
+def _title() -> Column:
+    stem = F.regexp_replace(F.regexp_extract("path", "([^/]+?)(?:\\.[^./]*)?$", 1), "[_-]", " ")
+    return F.coalesce("made.title", title_case(stem))
+
+
 def to_markdown(pages: DataFrame) -> DataFrame:
     """(path, title, markdown) of each PDF."""
-    lines = F.array_join(F.filter(F.transform(F.split("text", "\n"), markdown_line), lambda x: x != ""), "\n")
-    sections = pages.select("path", "page", "text", F.concat(F.lit("### Page "), F.col("page"), F.lit("\n\n"), lines).alias("section"))
-    join = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", c))), lambda x: x[c]), "\n\n")
-    both = sections.groupBy("path").agg(join("section").alias("markdown"), join("text").alias("whole"))
-    stem = F.regexp_replace(F.regexp_extract("path", "([^/]+?)(?:\\.[^./]*)?$", 1), "[_-]", " ")
-    return both.select("path", F.coalesce(first_title(F.col("whole")), title_case(stem)).alias("title"), "markdown")
+    return _gathered(pages).select("path", _made(0)).select("path", _title().alias("title"), "made.markdown")
 
 
 def document_to_markdown(pages: DataFrame, title: str | None = None, language: str = "unknown", tags: tuple[str, ...] = (), priority: str = "normal", points: int = 8) -> DataFrame:
     """(path, markdown): each PDF as a knowledge document with front matter, its important points and its text."""
-    text = to_markdown(pages)
-    facts = pages.groupBy("path").agg(F.max("source_sha256").alias("sha"), F.count("*").alias("n"))
-    # Pages in order, so that points of equal score come in the order of the text.
-    join = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n")
-    best = important_points(pages.groupBy("path").agg(join.alias("text")), points)
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: F.concat(F.lit("- "), x["sentence"])), "\n")
-    rows = text.join(facts, "path").join(best.groupBy("path").agg(lines.alias("points")), "path", "left")
+    rows = _gathered(pages).select("path", "sha", "n", _made(max(points, 1)))
     head = [
-        F.lit("---\ntitle: "), F.lit(title) if title else F.col("title"), F.lit(f"\nlanguage: {language}\ntags:\n" + "\n".join(f"  - {t}" for t in tags or ("imported",)) + f"\npriority: {priority}\nsource_type: pdf\nsource_file: "),
+        F.lit("---\ntitle: "), F.lit(title) if title else _title(), F.lit(f"\nlanguage: {language}\ntags:\n" + "\n".join(f"  - {t}" for t in tags or ("imported",)) + f"\npriority: {priority}\nsource_type: pdf\nsource_file: "),
         F.regexp_extract("path", "([^/]*)$", 1), F.lit("\nsource_sha256: "), "sha", F.lit("\npages: "), F.col("n").cast("string"),
     ]
-    return rows.select("path", F.concat(*head, F.lit("\n---\n\n## Important Points\n\n"), F.coalesce("points", F.lit("- No high-signal summary points were detected.")), F.lit("\n\n## Extracted Text\n\n"), "markdown", F.lit("\n")).alias("markdown"))
+    best = F.when(F.col("made.points") != "", F.col("made.points")).otherwise("- No high-signal summary points were detected.")
+    return rows.select("path", F.concat(*head, F.lit("\n---\n\n## Important Points\n\n"), best, F.lit("\n\n## Extracted Text\n\n"), "made.markdown", F.lit("\n")).alias("markdown"))
+
+
+def paged(lines: int) -> Callable[[str], Column]:
+    """Of a text that stands for a PDF file its pages, cleaned, of so many lines before; empty ones are left out."""
+
+    def of(text: str | None) -> list[dict]:
+        rows = (text or "").split("\n")
+        cleaned = enumerate((clean_text("\n".join(rows[k : k + lines])) for k in range(0, len(rows), lines)), 1)
+        return [{"page": k, "text": t} for k, t in cleaned if t]
+
+    @F.arrow_udf("array<struct<page: int, text: string>>")
+    def pages(text: pa.Array) -> pa.Array:
+        return by_row(of, pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())])), text)
+
+    return pages

@@ -345,3 +345,14 @@ def test_batch_tokens_match_loop():
     words, begins = batches.flat_tokens(pa.array(rows))
     assert batches.listed(begins, words).to_pylist() == [chunking.tokenise(r or "") for r in rows]
     assert [len(p) for p in batches.slices(pa.record_batch([pa.array(["aaa", None, "a", "aaaa", ""])], ["t"]), 4)] == [2, 1, 2]
+
+
+def test_pdf_text_is_shuffled_once(spark):
+    pages = spark.createDataFrame([("a.pdf", "ab", 1, "x")], "path string, source_sha256 string, page int, text string")
+    plan = pdf.document_to_markdown(pages)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("ObjectHashAggregate") + plan.count("SortAggregate") <= 2  # one aggregation, in two steps
+    assert pdf.clean_text("\ta \t b\r\n\r\xa0\n \x0bc  ") == "a b\nc"
+    rows = spark.createDataFrame([("\n\nTwo\n\n\n one ", "x"), (None, "y")], "body string, path string").select("path", F.inline(pdf.paged(2)("body"))).collect()
+    assert [tuple(r) for r in rows] == [("x", 2, "Two"), ("x", 3, "one")]
+    twice = spark.createDataFrame([("a", "Never drink from a flooded well."), ("a", "NEVER DRINK FROM A FLOODED WELL.\nAvoid all of the flooded wells here.")], "path string, text string")
+    assert sorted((r["rank"], r["sentence"]) for r in pdf.important_points(twice).collect()) in ([(1, "Never drink from a flooded well."), (2, "Avoid all of the flooded wells here.")], [(1, "NEVER DRINK FROM A FLOODED WELL."), (2, "Avoid all of the flooded wells here.")])
