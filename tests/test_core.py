@@ -356,3 +356,18 @@ def test_pdf_text_is_shuffled_once(spark):
     assert [tuple(r) for r in rows] == [("x", 2, "Two"), ("x", 3, "one")]
     twice = spark.createDataFrame([("a", "Never drink from a flooded well."), ("a", "NEVER DRINK FROM A FLOODED WELL.\nAvoid all of the flooded wells here.")], "path string, text string")
     assert sorted((r["rank"], r["sentence"]) for r in pdf.important_points(twice).collect()) in ([(1, "Never drink from a flooded well."), (2, "Avoid all of the flooded wells here.")], [(1, "NEVER DRINK FROM A FLOODED WELL."), (2, "Avoid all of the flooded wells here.")])
+
+
+def test_term_statistics_in_one_pass(spark, kb):
+    stats = postings.corpus_stats(kb)
+    plans = [d._jdf.queryExecution().sparkPlan().toString() for d in (stats, postings.audit_index(kb))]
+    assert not any(w in p for p in plans for w in ("Join", "CartesianProduct", "Expand"))
+    r = stats.first()
+    every = [chunking.tokenise(f"{d[1]} {' '.join(d[4])} {d[2]}") for d in DOCS]
+    lengths = [3 * len(chunking.tokenise(d[1])) + 2 * len(chunking.tokenise(" ".join(d[4]))) + len(chunking.tokenise(d[2])) for d in DOCS]
+    assert (r["documents"], r["tokens"], r["terms"]) == (len(DOCS), sum(map(len, every)), len({t for e in every for t in e}))
+    assert r["mean_length"] == round(sum(lengths) / len(DOCS), 6)
+    assert tuple(postings.corpus_stats(kb.limit(0)).first()) == (0, None, 0, 0)
+    twice = kb.filter("path = 'es/agua.md'")
+    rows = postings.audit_index(twice.union(twice)).collect()  # texts of one path count together, and each row stays
+    assert len(rows) == 2 and all((r["token_count"], r["terms"]) == (14, {"agua": 6, "bebe": 2, "despues": 2, "hierva": 2, "nino": 2}) for r in rows)
