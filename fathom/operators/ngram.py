@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
+from fathom.functions import batches
 from fathom.functions.chunking import tokenise
 from fathom.functions.text import tokens
 from fathom.operators.postings import all_text
@@ -14,14 +19,38 @@ from fathom.operators.postings import all_text
 LONGEST_NOTE = 26
 
 
-def transitions(kb: DataFrame, order: int = 2) -> DataFrame:
-    """(prefix, next, n): the order tokens before each token, joined by a blank."""
+def _grams(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The n-grams of texts with their counts in a slice, where their numbers fit; else one by one."""
+
+    def of_slice(texts: pa.Array) -> pa.RecordBatch:
+        words, begins = batches.flat_tokens(texts)
+        names = words.dictionary_encode()
+        codes, own = names.indices.to_numpy().astype(np.int64), batches.owners(begins)
+        at = np.flatnonzero(np.arange(len(codes)) + order < begins[1:][own])
+        parts = [codes[at + k] for k in range(order + 1)]
+        n = np.ones(len(at), np.int64)
+        if (width := max(len(names.dictionary), 1)) ** (order + 1) < 1 << 63:
+            key = parts[0]
+            for p in parts[1:]:
+                key = key * width + p
+            key, n = np.unique(key, return_counts=True)
+            parts = [key // width ** (order - k) % width for k in range(order + 1)]
+        said = [names.dictionary.take(pa.array(p)) for p in parts]
+        prefix = pc.binary_join_element_wise(*said[:-1], " ") if order > 1 else said[0]
+        return pa.record_batch([prefix, said[-1], pa.array(n, pa.int64())], ["prefix", "next", "n"])
+
+    return lambda given: (of_slice(part.column(0)) for batch in given for part in batches.slices(batch))
+
+
+def _each(kb: DataFrame, order: int) -> DataFrame:
     if order < 1:
         raise ValueError("the order must be 1 or more")
-    held = kb.select(tokens(all_text()).alias("t")).filter(F.size("t") > order)
-    at = F.explode(F.sequence(F.lit(1), F.size("t") - order))
-    rows = held.select("t", at.alias("at")).select(F.array_join(F.slice("t", F.col("at"), F.lit(order)), " ").alias("prefix"), F.get("t", F.col("at") + (order - 1)).alias("next"))
-    return rows.groupBy("prefix", "next").agg(F.count("*").alias("n"))
+    return kb.select(all_text().alias("t")).mapInArrow(_grams(order), "prefix string, next string, n long")
+
+
+def transitions(kb: DataFrame, order: int = 2) -> DataFrame:
+    """(prefix, next, n): the order tokens before each token, joined by a blank."""
+    return _each(kb, order).groupBy("prefix", "next").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(kb: DataFrame) -> DataFrame:
@@ -29,10 +58,16 @@ def vocabulary(kb: DataFrame) -> DataFrame:
     return kb.select(F.explode(tokens(all_text())).alias("token")).filter(F.col("token").rlike("^[a-z]+$")).distinct()
 
 
+@F.arrow_udf(LongType())
+def _sizes(text: pa.Array) -> pa.Array:
+    return batches.joined([pa.array(np.diff(batches.flat_tokens(part.column(0))[1]), pa.int64()) for part in batches.slices(pa.record_batch([text], ["t"]))], pa.int64())
+
+
 def model_summary(kb: DataFrame, order: int = 2) -> DataFrame:
-    """One row: order, documents, tokens, distinct prefixes (transition_count) and distinct pairs."""
-    totals = kb.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size(tokens(all_text()))), F.lit(0)).alias("token_count"))
-    pairs = transitions(kb, order).agg(F.countDistinct("prefix").alias("transition_count"), F.count("*").alias("pair_count"))
+    """One row: order, documents, tokens, distinct prefixes (transition_count) and distinct pairs. Pairs are shuffled once, by their prefix."""
+    totals = kb.select(_sizes(all_text()).alias("n")).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("token_count"))
+    pairs = _each(kb, order).select("prefix", "next").repartition("prefix").distinct().groupBy("prefix").agg(F.count("*").alias("n"))
+    pairs = pairs.agg(F.count("*").alias("transition_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("pair_count"))
     return totals.crossJoin(pairs).select(F.lit(order).alias("order"), "documents", "token_count", "transition_count", "pair_count")
 
 

@@ -371,3 +371,18 @@ def test_term_statistics_in_one_pass(spark, kb):
     twice = kb.filter("path = 'es/agua.md'")
     rows = postings.audit_index(twice.union(twice)).collect()  # texts of one path count together, and each row stays
     assert len(rows) == 2 and all((r["token_count"], r["terms"]) == (14, {"agua": 6, "bebe": 2, "despues": 2, "hierva": 2, "nino": 2}) for r in rows)
+
+
+def test_grams_are_counted_before_the_shuffle(spark, kb):
+    from collections import Counter
+
+    for order in (1, 2, 3):
+        every = [chunking.tokenise(f"{d[1]} {' '.join(d[4])} {d[2]}") for d in DOCS]
+        want = Counter((" ".join(t[k : k + order]), t[k + order]) for t in every for k in range(len(t) - order))
+        found = ngram.transitions(kb, order)
+        assert {(r["prefix"], r["next"]): r["n"] for r in found.collect()} == want
+        assert "Generate" not in found._jdf.queryExecution().sparkPlan().toString()  # no row a place in a text
+        assert tuple(ngram.model_summary(kb, order).first()) == (order, len(DOCS), sum(map(len, every)), len({p for p, _ in want}), len(want))
+    long = spark.createDataFrame([("a", "", " ".join(f"w{k}" for k in range(9000)), "en", [], "x")] * 2, KB)  # numbers of six of 9,000 tokens don't fit
+    assert {r["n"] for r in ngram.transitions(long, 5).collect()} == {2} and ngram.transitions(long, 5).count() == 8995
+    assert tuple(ngram.model_summary(kb.limit(0)).first()) == (2, 0, 0, 0, 0)
