@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from fathom.functions.text import STOPWORDS, fold_text
 
@@ -103,3 +103,16 @@ def token_lists(text: pa.Array) -> pa.Array:
     """The tokens of each text, none of a null one."""
     parts = [flat_tokens(part.column(0)) for part in slices(pa.record_batch([text], ["t"]))]
     return joined([listed(begins, words) for words, begins in parts], pa.list_(pa.string()))
+
+
+@F.arrow_udf(IntegerType())
+def count_matches(text: pa.Array, other: pa.Array) -> pa.Array:
+    """How many tokens of the text, repeated ones too, the other text has."""
+    parts = []
+    for part in slices(pa.record_batch([text, other], ["t", "o"])):
+        (said, begins), (held, others) = map(flat_tokens, part.columns)
+        codes, names = coded(pa.concat_arrays([said, held]))
+        key = np.concatenate([owners(begins), owners(others)]) * max(len(names), 1) + codes
+        found = owners(begins)[np.isin(key[: len(said)], key[len(said) :])]
+        parts.append(pa.array(np.bincount(found, minlength=len(part)), pa.int32()))
+    return joined(parts, pa.int32())

@@ -122,11 +122,6 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, 2, 1 << 30)))), "")
 
 
-def count_matches(query_tokens: Column, document_tokens: Column) -> Column:
-    """How many query tokens, repeated ones too, the document has."""
-    return F.size(F.filter(query_tokens, lambda t: F.array_contains(document_tokens, t)))
-
-
 def shown_tags(tags: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(tags, ", "), F.lit("")), F.lit("none"))
 

@@ -386,3 +386,11 @@ def test_grams_are_counted_before_the_shuffle(spark, kb):
     long = spark.createDataFrame([("a", "", " ".join(f"w{k}" for k in range(9000)), "en", [], "x")] * 2, KB)  # numbers of six of 9,000 tokens don't fit
     assert {r["n"] for r in ngram.transitions(long, 5).collect()} == {2} and ngram.transitions(long, 5).count() == 8995
     assert tuple(ngram.model_summary(kb.limit(0)).first()) == (2, 0, 0, 0, 0)
+
+
+def test_matches_are_counted_in_batches(spark):
+    from fathom.functions import batches
+
+    rows = spark.createDataFrame([("Wet wet Dogs the é", "dogs, wet é"), ("one", None), (None, "one"), ("x one", "two one"), ("", "")], "a string, b string")
+    found = rows.select(batches.count_matches("a", "b").alias("n"))
+    assert [r["n"] for r in found.collect()] == [3, 0, 0, 1, 0] and "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
