@@ -31,6 +31,7 @@ FOLLOW_UP_STARTS = ("also ", "and ", "can i", "how about", "next ", "should i",
 FOLLOW_UP_WORDS = frozenset("night now then this that there inside outside indoors again before after with without".split())
 #: White space as Python sees it.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def fold_text(text: str) -> str:

@@ -18,15 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from fathom.functions.batches import by_row
 from fathom.functions.chunking import strip
-from fathom.functions.text import title_case
+from fathom.functions.text import SPACE, title_case
 
 MANIFEST = "pack.json"
 CASE = "query string, expected_tag string, difficulty string, expected_language string"
 #: Where a line ends, as Python sees it.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _LIST = ArrayType(StringType())
-FRONT = StructType([StructField("meta", MapType(StringType(), _LIST)), StructField("listed", _LIST), StructField("body", StringType())])
+FRONT = StructType([StructField("meta", MapType(StringType(), _LIST)), StructField("listed", _LIST)])
 
 
 def front_matter(text: str) -> dict:
@@ -56,23 +57,35 @@ def front_matter(text: str) -> dict:
     return {"meta": meta, "listed": sorted(listed), "body": "\n".join(lines[end + 1 :]).strip()}
 
 
+#: A text's first lines, from a line of three dashes to the next.
+_BLANK = rf"[{SPACE}&&[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]]*+"
+HEAD = rf"(?s)^{_BLANK}---{_BLANK}(?:{LINE_END}).*?(?<=[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]){_BLANK}---{_BLANK}(?:{LINE_END}|\z)"
+
+
 @F.arrow_udf(FRONT)
-def _split(text: pa.Array) -> pa.Array:
-    kind = pa.struct([("meta", pa.map_(pa.string(), pa.list_(pa.string()))), ("listed", pa.list_(pa.string())), ("body", pa.string())])
-    rows = [front_matter(t or "") for t in text.to_pylist()]
-    return pa.array([r | {"meta": list(r["meta"].items())} for r in rows], kind)
+def _split(head: pa.Array) -> pa.Array:
+    kind = pa.struct([("meta", pa.map_(pa.string(), pa.list_(pa.string()))), ("listed", pa.list_(pa.string()))])
+
+    def of(text: str | None) -> dict:
+        found = front_matter(text or "")
+        return {"meta": list(found["meta"].items()), "listed": found["listed"]}
+
+    return by_row(of, kind, head)
 
 
 def documents_of(texts: DataFrame) -> DataFrame:
-    """The knowledge table of (path, text)."""
-    rows = texts.withColumn("f", _split("text"))
+    """The knowledge table of (path, text). Only front matter goes through Python, where a batch of whole texts would be held several times over."""
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), HEAD, 0)
+    rest = F.regexp_replace(F.substr("text", F.length("head") + 1), LINE_END, "\n")
+    body = strip(F.when(F.col("head") != "", rest).otherwise(F.coalesce("text", F.lit(""))))
+    rows = texts.withColumn("head", head).withColumn("f", _split("head")).withColumn("body", body)
     scalar = lambda k: F.when(~F.array_contains("f.listed", F.lit(k)), F.get(F.try_element_at("f.meta", F.lit(k)), F.lit(0)))
-    lines = F.transform(F.split("f.body", LINE_END), strip)
+    lines = F.transform(F.split("body", LINE_END), strip)
     heading = F.get(F.filter(lines, lambda line: line.startswith("#")), F.lit(0))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/:]+)$", 1), r"(?<=.)\.[^.]*$", "")
     title = F.coalesce(scalar("title"), strip(F.regexp_replace(heading, "^#+", "")), title_case(F.regexp_replace(stem, "[_-]", " ")))
     return rows.select(
-        "path", title.alias("title"), F.col("f.body").alias("body"), F.sha2(F.encode("text", "utf-8"), 256).alias("source_sha256"), F.coalesce(scalar("language"), F.lit("unknown")).alias("language"),
+        "path", title.alias("title"), "body", F.sha2(F.encode("text", "utf-8"), 256).alias("source_sha256"), F.coalesce(scalar("language"), F.lit("unknown")).alias("language"),
         F.coalesce(F.try_element_at("f.meta", F.lit("tags")), F.array().cast("array<string>")).alias("tags"), F.coalesce(scalar("priority"), F.lit("normal")).alias("priority"), F.col("f.meta").alias("metadata"),
     )
 

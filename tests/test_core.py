@@ -394,3 +394,21 @@ def test_matches_are_counted_in_batches(spark):
     rows = spark.createDataFrame([("Wet wet Dogs the é", "dogs, wet é"), ("one", None), (None, "one"), ("x one", "two one"), ("", "")], "a string, b string")
     found = rows.select(batches.count_matches("a", "b").alias("n"))
     assert [r["n"] for r in found.collect()] == [3, 0, 0, 1, 0] and "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_front_matter_alone_goes_through_python(spark):
+    space = " \t　\x85"
+    texts = ["---\ntitle: T\n---\nbody\r\nmore\n", f"{space[:3]}--- \r\n- x\ntags:\n- a\n　---\xa0\n\n# H\x0bz ", "---\nno end", "\n---\na: b\n---\n", "---", "---\n---", "---\n---\nx", "--- x\n---\n", "-----\n---\nb", "---\r---\rb\rc", "---\x1c a: b ---\x85c", "", space, "# One\n\n---\n", f"{space}x{space}", None, "--\n---\nt\n---", "---\nkey: v\n ---x\n---\n  z  \n"]
+    rows = spark.createDataFrame([(f"f{k}.md", t) for k, t in enumerate(texts)], "path string, text string")
+    found = markdown.documents_of(rows)
+    for k, r in enumerate(sorted(found.collect(), key=lambda r: int(r["path"][1:-3]))):
+        want = markdown.front_matter(texts[k] or "")
+        assert (r["body"], r["metadata"]) == (want["body"], want["meta"]), texts[k]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_split(head" in plan and "_split(text" not in plan
+
+
+def test_strip_column_matches_python(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choices([chr(c) for c in range(0x3001) if chr(c).isspace()] + ["a", "​", "é"], k=rng.randint(0, 9))),) for _ in range(400)]
+    assert all(r["s"] == r["t"].strip() for r in spark.createDataFrame(rows, "t string").select("t", chunking.strip(F.col("t")).alias("s")).collect())
