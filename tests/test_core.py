@@ -412,3 +412,8 @@ def test_strip_column_matches_python(spark):
     rng = random.Random(8)
     rows = [("".join(rng.choices([chr(c) for c in range(0x3001) if chr(c).isspace()] + ["a", "​", "é"], k=rng.randint(0, 9))),) for _ in range(400)]
     assert all(r["s"] == r["t"].strip() for r in spark.createDataFrame(rows, "t string").select("t", chunking.strip(F.col("t")).alias("s")).collect())
+
+
+def test_chunks_are_packed_in_batches(spark):
+    found = spark.createDataFrame([("a. " * 300,)], "t string").select(chunking.chunked(F.col("t")).alias("c"))
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString() and [len(c) for c in found.first()["c"]] == [698, 200]
