@@ -417,3 +417,11 @@ def test_strip_column_matches_python(spark):
 def test_chunks_are_packed_in_batches(spark):
     found = spark.createDataFrame([("a. " * 300,)], "t string").select(chunking.chunked(F.col("t")).alias("c"))
     assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString() and [len(c) for c in found.first()["c"]] == [698, 200]
+
+
+def test_session_makes_accepted_passages_only(spark, kb):
+    from fathom.streaming.session import session_turns
+
+    turns = spark.createDataFrame([(1, 0, "boil water"), (1, 1, "what about fire"), (2, 0, "zebra")], "conv_id long, turn long, text string")
+    one, two = (sorted(map(tuple, session_turns(turns, lambda q, w=w: rank.search(q, kb, passages=w))[0].collect())) for w in (True, False))
+    assert one == two and [r[5][:10] for r in one] == ["Boil water", "Boil water", answer.REFUSAL[:10]]
