@@ -1,7 +1,8 @@
 """Tokens of Arrow batches of texts by array operations, without a Python object a token.
 
 The same tokens as text.tokens(): it folds with Catalyst's expressions, which take several times as long
-over a corpus and can't count in place.
+over a corpus and can't count in place. There are no Spark functions here: functions for tasks are pickled with
+what they name of this module, and a Spark function that was called can't be pickled.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from fathom.functions.text import STOPWORDS, fold_text
 
@@ -96,23 +95,3 @@ def joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
 def by_row(of: Callable, kind: pa.DataType, *columns: pa.Array, rows: int = 500) -> pa.Array:
     """of() each row, so many of which are Python objects at a time."""
     return joined([pa.array([of(*r) for r in zip(*(c.slice(k, rows).to_pylist() for c in columns))], kind) for k in range(0, len(columns[0]), rows)], kind)
-
-
-@F.arrow_udf(ArrayType(StringType()))
-def token_lists(text: pa.Array) -> pa.Array:
-    """The tokens of each text, none of a null one."""
-    parts = [flat_tokens(part.column(0)) for part in slices(pa.record_batch([text], ["t"]))]
-    return joined([listed(begins, words) for words, begins in parts], pa.list_(pa.string()))
-
-
-@F.arrow_udf(IntegerType())
-def count_matches(text: pa.Array, other: pa.Array) -> pa.Array:
-    """How many tokens of the text, repeated ones too, the other text has."""
-    parts = []
-    for part in slices(pa.record_batch([text, other], ["t", "o"])):
-        (said, begins), (held, others) = map(flat_tokens, part.columns)
-        codes, names = coded(pa.concat_arrays([said, held]))
-        key = np.concatenate([owners(begins), owners(others)]) * max(len(names), 1) + codes
-        found = owners(begins)[np.isin(key[: len(said)], key[len(said) :])]
-        parts.append(pa.array(np.bincount(found, minlength=len(part)), pa.int32()))
-    return joined(parts, pa.int32())

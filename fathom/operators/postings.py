@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from fathom.functions import batches
 from fathom.functions.text import tokens
@@ -82,3 +82,16 @@ def audit_index(kb: DataFrame) -> DataFrame:
     rows = kb.groupBy("path").agg(F.collect_list(own).alias("own"), F.array_join(F.collect_list(all_text()), " ").alias("text")).select("path", "own", term_counts("text").alias("t"))
     total = F.aggregate("t", F.lit(0).cast("long"), lambda s, t: s + t["n"])
     return rows.select("path", F.inline("own"), total.alias("token_count"), F.map_from_entries("t").alias("terms"))
+
+
+@F.arrow_udf(IntegerType())
+def count_matches(text: pa.Array, other: pa.Array) -> pa.Array:
+    """How many tokens of the text, repeated ones too, the other text has."""
+    parts = []
+    for part in batches.slices(pa.record_batch([text, other], ["t", "o"])):
+        (said, begins), (held, others) = map(batches.flat_tokens, part.columns)
+        codes, names = batches.coded(pa.concat_arrays([said, held]))
+        key = np.concatenate([batches.owners(begins), batches.owners(others)]) * max(len(names), 1) + codes
+        found = batches.owners(begins)[np.isin(key[: len(said)], key[len(said) :])]
+        parts.append(pa.array(np.bincount(found, minlength=len(part)), pa.int32()))
+    return batches.joined(parts, pa.int32())

@@ -388,12 +388,11 @@ def test_grams_are_counted_before_the_shuffle(spark, kb):
     assert tuple(ngram.model_summary(kb.limit(0)).first()) == (2, 0, 0, 0, 0)
 
 
-def test_matches_are_counted_in_batches(spark):
-    from fathom.functions import batches
-
+def test_matches_are_counted_in_batches(spark, kb):
     rows = spark.createDataFrame([("Wet wet Dogs the é", "dogs, wet é"), ("one", None), (None, "one"), ("x one", "two one"), ("", "")], "a string, b string")
-    found = rows.select(batches.count_matches("a", "b").alias("n"))
+    found = rows.select(postings.count_matches("a", "b").alias("n"))
     assert [r["n"] for r in found.collect()] == [3, 0, 0, 1, 0] and "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    assert ngram.transitions(kb).count() and rank.postings(kb).count() == len(DOCS)  # a function that was called isn't pickled with theirs
 
 
 def test_front_matter_alone_goes_through_python(spark):
